@@ -1,4 +1,41 @@
-def queries():
-    return {}
-def oracle_sql():
+"""Queries of the training-data operators."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.instants import with_instant
+from tidemark.llm.conversations import conversations
+from tidemark.llm.leaks import leaks
+from tidemark.llm.sentences import sentences
+from tidemark.plans.core_queries import with_owner_clock
+from tidemark.tables import table
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of every whole session with its place in the session."""
+    events = table(spark, sf_dir, "scenarios").where("kind = 'event' and session_id is not null").select("session_id", "id", "user_id", "role", "content", "timestamp")
+    clocked = with_owner_clock(events, table(spark, sf_dir, "owners"))
+    timed = with_instant(clocked, "timestamp", "at", F.col("home_zone"), F.col("month_first"))
+    return conversations(timed).select("session_id", "turn_no", "id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds at least half of an evaluation item's passage."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("item_id", "doc_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every document."""
+    return sentences(table(spark, sf_dir, "documents"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"p2_found": p2_found, "p7_found": p7_found, "p8_found": p8_found}
+
+
+def oracle_sql() -> dict[str, str]:
     return {}
