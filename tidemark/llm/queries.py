@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.instants import with_instant
 from tidemark.llm.conversations import conversations
 from tidemark.llm.leaks import leaks
+from tidemark.llm.neighbours import similar_pairs
 from tidemark.llm.sentences import sentences
 from tidemark.plans.core_queries import with_owner_clock
-from tidemark.tables import table
+from tidemark.tables import current_memories, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(timed).select("session_id", "turn_no", "id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of current memories of similarity 0.93 or more of which one is among the 10 most similar of the other."""
+    current = current_memories(table(spark, sf_dir, "memories"), "embedding").withColumnRenamed("embedding", "vector")
+    return similar_pairs(current, 64, 0.93, 10).select("id_a", "id_b")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds at least half of an evaluation item's passage."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("item_id", "doc_id")
@@ -34,7 +41,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
