@@ -11,6 +11,7 @@ from tidemark.functions.instants import with_instant
 from tidemark.llm.conversations import conversations
 from tidemark.llm.leaks import leaks
 from tidemark.llm.neighbours import similar_pairs
+from tidemark.llm.packing import pack, token_counts, usage
 from tidemark.llm.sentences import sentences
 from tidemark.plans.core_queries import with_owner_clock
 from tidemark.tables import current_memories, table
@@ -30,6 +31,21 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(current, 64, 0.93, 10).select("id_a", "id_b")
 
 
+def _budgets(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
+    """The stated capacities; a handful of rows."""
+    return sorted((r.budget_id, r.capacity_tokens) for r in table(spark, sf_dir, "context_budgets").collect())
+
+
+def p6_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, or piece of one, in its container of each capacity."""
+    return pack(token_counts(table(spark, sf_dir, "documents")), _budgets(spark, sf_dir))
+
+
+def p6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return usage(p6_bins(spark, sf_dir), _budgets(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds at least half of an evaluation item's passage."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("item_id", "doc_id")
@@ -41,7 +57,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p4_found": p4_found, "p6_bins": p6_bins, "p6_usage": p6_usage, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
