@@ -14,7 +14,7 @@ from tidemark.tables import written
 #: Rows that the routing tree is fitted on at most; every row is indexed whatever their number.
 SAMPLE = 20_000
 #: Vectors under which a node is compared in full.
-LEAF = 512
+LEAF = 2048
 #: Candidates among which a node's vantage point is chosen, and vectors their spread is measured on.
 TRIES, SPREAD_ON = 24, 256
 #: Leaves of the routing tree, so that a shard holds SHARD vectors at most, and SHARDS shards at least.
@@ -101,7 +101,7 @@ def close_pairs(rows: np.ndarray, least: float, reach: float, leaf: int = LEAF,
             d = distances(own, point)
             mid = np.median(d)
             near, far = who[d <= mid + reach], who[d > mid - reach]
-            if max(len(near), len(far)) < 0.9 * len(who):
+            if len(near) ** 2 + len(far) ** 2 < 0.9 * len(who) ** 2:  # else splitting costs more than comparing
                 todo += [near, far]
                 continue
         for a in range(0, len(who), 1024):  # a node that does not split is compared in blocks
@@ -125,7 +125,7 @@ def _matrix(values: pd.Series, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float32).reshape(-1, size)
 
 
-def similar_pairs(vectors: DataFrame, size: int, least: float, k: int = 10, factor: float = 0.3, shards: int | None = None) -> DataFrame:
+def similar_pairs(vectors: DataFrame, size: int, least: float, k: int = 10, factor: float = 0.15, shards: int | None = None) -> DataFrame:
     """``(id_a, id_b, similarity)``, id_a < id_b: pairs of cosine similarity ``least`` or more of which one is among the ``k`` most similar of the other.
 
     ``vectors`` has ``id`` (string, unique) and ``vector``. A vantage-point tree fitted on at most SAMPLE rows
