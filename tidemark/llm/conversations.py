@@ -109,6 +109,7 @@ def conversations(messages: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
     code = role_code(F.col("role")).alias("role")
     rows = messages.where("session_id is not null and trim(session_id) <> '' and id is not null").select("session_id", "id", "user_id", "at", code, visible(F.col("content")).alias("seen"))
     rows = rows.groupBy("session_id", "id").agg(F.max("user_id").alias("user_id"), F.max("at").alias("at"), F.max("role").alias("role"), F.min("seen").alias("seen"))
+    rows = written(rows)  # read twice below, and narrow by now
     good = F.col("user_id").isNotNull() & F.col("at").isNotNull() & F.col("role").isNotNull() & F.col("seen")
     stats = rows.groupBy("session_id").agg(
         F.count("*").alias("n"), F.min(good).alias("good"), F.min("user_id").alias("u0"), F.max("user_id").alias("u1"), F.min("at").alias("t0"), F.max("at").alias("t1"),
@@ -124,10 +125,9 @@ def conversations(messages: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
     grouped = grouped.withColumn("ok", F.col("distinct_at") & ~F.col("said").rlike("uu|aa"))
     single = grouped.where("not cut_up and ok and said like 'u%' and said like '%a'")
     turns = single.select("session_id", F.posexplode("ms").alias("turn_no", "m")).select("session_id", F.col("turn_no").cast("bigint").alias("turn_no"), F.col("m.id").alias("id"), F.col("m.role").alias("role"))
-    long = written(grouped.where("cut_up").select("session_id", "frag", "ms", "said", "ok"))
-    if long.isEmpty():
+    if fit.where(F.col("n") > fragment).isEmpty():
         return turns
-    return turns.unionByName(_long(long))
+    return turns.unionByName(_long(written(grouped.where("cut_up").select("session_id", "frag", "ms", "said", "ok"))))
 
 
 def _long(parts: DataFrame) -> DataFrame:
