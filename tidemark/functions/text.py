@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that are words of their own.
 CJK = "\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uac00-\\ud7af\\uf900-\\ufaff"
@@ -110,7 +111,7 @@ def repaired_json(text: Column) -> Column:
     return F.trim(F.when(single, F.replace(out, F.lit("'"), F.lit('"'))).otherwise(out))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def content_hash(texts: pd.Series) -> pd.Series:
     """FNV-1a of 64 bits over the UTF-8 bytes, in 16 hex digits; null for null."""
 
@@ -125,7 +126,7 @@ def content_hash(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def chinese_numbers(texts: pd.Series) -> pd.Series:
     """Numbers below a thousand in Chinese numerals; null for null."""
     import re
@@ -142,7 +143,7 @@ def chinese_numbers(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [value(r) for r in re.findall("[零一二两三四五六七八九十百]+", t)], na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def candidate_entities(texts: pd.Series) -> pd.Series:
     """Names that a text seems to hold: quoted strings of 2 to 50 bytes, and runs of capitalised words not at its start."""
     import re
