@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -264,14 +265,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, size: int, k: int = 10, fact
     count = asked.count()
     blocks = max(1, -(-count // block))
     shards = max(1, -(-rows.count() // shard_rows))
-    out = None
-    for b in range(blocks):
-        part = [(r.id, r.vector) for r in asked.where(F.col("part") % blocks == b).toLocalIterator()]
-        if not part:
-            continue
-        sent = spark.sparkContext.broadcast(([p[0] for p in part], unit(np.array([p[1] for p in part], np.float64))))
-
-        def answer(pdf: pd.DataFrame, sent=sent) -> pd.DataFrame:
+    def answering(sent: Broadcast) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def answer(pdf: pd.DataFrame) -> pd.DataFrame:
             ids, asked_rows = sent.value
             pdf = pdf.sort_values("id", kind="stable")
             own = pdf["id"].to_numpy()
@@ -279,7 +274,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, size: int, k: int = 10, fact
             q, c = np.nonzero(at >= 0)
             return pd.DataFrame({"query": np.array(ids, dtype=own.dtype)[q], "neighbour": own[at[q, c]], "d": d[q, c].astype(np.float64)})
 
-        found = rows.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("_shard").applyInPandas(answer, f"query {kind}, neighbour {kind}, d double")
+        return answer
+
+    out = None
+    for b in range(blocks):
+        part = [(r.id, r.vector) for r in asked.where(F.col("part") % blocks == b).toLocalIterator()]
+        if not part:
+            continue
+        sent = spark.sparkContext.broadcast(([p[0] for p in part], unit(np.array([p[1] for p in part], np.float64))))
+        found = rows.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("_shard").applyInPandas(answering(sent), f"query {kind}, neighbour {kind}, d double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return rows.select(F.col("id").alias("query"), F.col("id").alias("neighbour"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).where("false")

@@ -40,7 +40,7 @@ SHAPES: dict[str, list[str]] = {
         rf"(?<!{_D})[(（]?(?:010|０１０)[)）]?[ \-－]?(?:555|５５５){_D}(?:[ \-－]?{_D}){{3,5}}(?!{_D})",
     ],
     "address": [
-        r"(?<![\p{L}\d])\d{1,4}[A-Da-d]? \p{L}+ (?i:road|street|st\.|st|lane|avenue|ave\.|ave|rd\.|ln\.|drive|court|way|close)(?!\p{L})(?:, (?i:apt|flat|unit) \d+)?(?:, \p{L}+ \d{5})?",
+        r"(?<![\p{L}\d])\d{1,4}[A-Da-d]? \p{L}+ (?i:road|street|st\.|st|lane|avenue|ave\.|ave|rd\.|ln\.|drive|court|way|close|blvd\.?|boulevard|square|terrace|crescent|row)(?!\p{L})(?:, (?i:apt|flat|unit) \d+)?(?:, \p{L}+ \d{5})?",
         r"(?<![\p{L}])\p{Lu}\p{L}*(?i:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer) \d{1,4} ?[a-d]?(?![\p{L}\d])(?:, \d{5} \p{L}+)?",
         r"(?<![\p{L}\d])\d{1,4}(?: (?:bis|ter))?,? (?i:rue|place|avenue|boulevard|bd|chemin|impasse|allée|quai|av\.)(?: (?:de la|du|des|de l'|de|d'))? ?\p{L}+(?:, \d{5} \p{L}+)?",
         r"(?<![\p{L}])(?i:c/|calle|avda\.|avenida|plaza|pza\.|paseo|camino)(?: (?:de la|del|de))? \p{L}+,? \d{1,4}(?:, \d+º ?[A-Z]?)?(?:, \d{5} \p{L}+)?",
@@ -61,6 +61,7 @@ class Labeller:
         other = [re.escape(n) for n in names if n and not n.isascii()]
         f, s = "|".join(sorted(first, key=len, reverse=True)), "|".join(sorted(last, key=len, reverse=True))
         parts = [rf"(?<!\p{{L}})(?:(?:{f})\s+(?:{s})|(?:{s}),?\s+(?:{f}))(?!\p{{L}})"] * bool(latin) + ["|".join(sorted(other, key=len, reverse=True))] * bool(other)
+        self.first, self.last, self.other = sorted(first), sorted(last), sorted(n for n in names if n and not n.isascii())
         self.names = re.compile("|".join(parts) or r"(?!)", re.I)
 
     def __call__(self, text: str) -> list[tuple[int, int, str]]:
@@ -70,3 +71,24 @@ class Labeller:
                 if all(m.end() <= a or m.start() >= b for a, b, _ in found):
                     found.append((m.start(), m.end(), kind))
         return sorted(found)
+
+    def varied(self, text: str, rng) -> tuple[str, list[tuple[int, int, str]]]:
+        """The text with other listed names, mixed anew, and other spellings of its spans; with the new spans."""
+        out, spans, at = [], [], 0
+        length = 0
+        for a, b, kind in self(text):
+            span = text[a:b]
+            if kind == "name":
+                if span.isascii() and self.first:
+                    f, s = self.first[rng.integers(len(self.first))], self.last[rng.integers(len(self.last))]
+                    span = [f"{f} {s}", f"{f} {s}", f"{s}, {f}", f"{f}  {s}"][rng.integers(4)]
+                elif not span.isascii() and self.other:
+                    span = self.other[rng.integers(len(self.other))]
+            if kind != "id_number":
+                span = [span, span, span.lower(), span.upper()][rng.integers(4)]
+            out += [text[at:a], span]
+            length += a - at
+            spans.append((length, length + len(span), kind))
+            length += len(span)
+            at = b
+        return "".join([*out, text[at:]]), spans

@@ -7,6 +7,7 @@ shapes in ``pii_labels``, and fits the weights by gradient descent on the CRF's
 from __future__ import annotations
 
 import glob
+import re
 import sys
 import time
 from collections import Counter
@@ -15,11 +16,14 @@ import numpy as np
 import pyarrow.parquet as pq
 
 from tidemark.llm.pii_labels import KINDS, Labeller
-from tidemark.llm.tagger import N_TAGS, RESERVED, WINDOW, Alphabet, Tagger, _reversed
+from tidemark.llm.tagger import N_TAGS, RESERVED, WINDOW, Alphabet, Tagger, _reversed, char_class
 
-#: Texts that are labelled at most, and texts without any span among those trained on.
-MAX_ROWS, PLAIN = 90_000, 3_000
-HIDDEN, EMBED, RATE = 28, 16, 4e-3
+#: Texts that are labelled at most, and texts without any span among those trained on: of any kind, and with
+#: long numbers or capitalised words in a row.
+MAX_ROWS, PLAIN, HARD = 90_000, 3_000, 6_000
+HIDDEN, EMBED, RATE = 24, 16, 4e-3
+#: Rewritten copies of each text with spans.
+VARIANTS = 3
 
 
 def tag_row(text: str, spans: list[tuple[int, int, str]]) -> np.ndarray:
@@ -162,7 +166,9 @@ def main(tables: str, out: str, epochs: int = 14) -> None:
     rows = [(t, label(t)) for t in texts]
     spanned, plain = [r for r in rows if r[1]], [r for r in rows if not r[1]]
     held = spanned[::8] + plain[:400]
-    train = [r for k, r in enumerate(spanned) if k % 8] + plain[400 : 400 + PLAIN]
+    hard = [r for r in plain[400 + PLAIN :] if re.search(r"\d[\d .\-]{5,}\d|[A-Z]\w+ [A-Z]\w+|\d{5}", r[0])][:HARD]
+    train = [r for k, r in enumerate(spanned) if k % 8] + plain[400 : 400 + PLAIN] + hard
+    train += [label.varied(t, rng) for t, spans in train if spans for _ in range(VARIANTS)]
     count = Counter(c for t, _ in train for c in t)
     alphabet = Alphabet("".join(sorted(c for c, n in count.items() if n >= 12 and not c.isspace() and not c.isdigit() and ord(c) < 0x10000)))
     cut = []
@@ -171,6 +177,7 @@ def main(tables: str, out: str, epochs: int = 14) -> None:
         for a in range(0, len(t), WINDOW):
             cut.append((coded[a : a + WINDOW], tags[a : a + WINDOW]))
     print(len(rows), "texts,", len(spanned), "with spans,", len(cut), "windows,", alphabet.size - RESERVED, "characters", flush=True)
+    shared = np.array([*range(RESERVED), *[char_class(c) for c in alphabet.chars]], np.int32)
     w = start_weights(alphabet, rng)
     m, v, n = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
     for epoch in range(epochs):
@@ -184,7 +191,7 @@ def main(tables: str, out: str, epochs: int = 14) -> None:
             for j, k in enumerate(who):
                 ids[: lengths[j], j], tags[: lengths[j], j] = cut[k]
             drop = rng.random(ids.shape) < 0.01  # rare characters must get along without a number of their own
-            ids = np.where(drop & (ids >= RESERVED) & (np.array([len(alphabet.chars)]) > 0), np.where(ids > 0, HANDLE[alphabet_class(alphabet, ids)], ids), ids)
+            ids = np.where(drop, shared[ids], ids)
             loss, g = step(w, ids, tags, lengths)
             losses.append(loss)
             norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
@@ -199,16 +206,5 @@ def main(tables: str, out: str, epochs: int = 14) -> None:
         np.savez_compressed(out, chars=np.array(alphabet.chars), **{k: x.astype(np.float16) for k, x in w.items()})
 
 
-HANDLE = np.arange(RESERVED, dtype=np.int32)
-
-
-def alphabet_class(alphabet: Alphabet, ids: np.ndarray) -> np.ndarray:
-    """The shared class of each character number."""
-    from tidemark.llm.tagger import char_class
-
-    classes = np.concatenate([HANDLE, np.array([char_class(c) for c in alphabet.chars], np.int32)])
-    return classes[ids]
-
-
 if __name__ == "__main__":
     main(sys.argv[1], sys.argv[2], int(sys.argv[3]) if len(sys.argv) > 3 else 14)
