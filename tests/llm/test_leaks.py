@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm.leaks import Passages, fingerprints, leaks, run_hashes
+from tidemark.llm.leaks import WINDOW, Passages, fingerprints, leaks, run_hashes
 from tidemark.llm.normal import characters, tokens
 
 
@@ -42,6 +42,9 @@ def corpus(seed):
             w = [x.upper() + rng.choice(["", ",", "!", "​"]) for x in w]
         elif kind == 4:
             w = [word() for _ in range(40)]
+        if kind == 5:  # put a word in after every fourth, or fewer
+            step = rng.randrange(4, 7)
+            w = [y for k, x in enumerate(w) for y in ([x, word() if i < 100 else rng.choice(han)] if k % step == step - 1 else [x])]
         sep = rng.choice(["", " "]) if i >= 100 else rng.choice([" ", "  ", "\n", " "])
         docs.append((k, " ".join(word() for _ in range(20)) + sep + sep.join(w) + " " + " ".join(word() for _ in range(20))))
     return docs, items
@@ -74,13 +77,13 @@ def test_spellings_do_not_matter():
 def test_blocks_find_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(0)
     p = Passages([(k, " ".join(f"w{rng.integers(500)}" for _ in range(40))) for k in range(20)], radius=2)
-    values, owners, _ = p.index[False, 3]
+    values, owners, _ = p.index[False, WINDOW[False]]
     for flips in range(3):
         mask = np.zeros(len(values), np.uint64)
         for k in range(len(values)):
             for bit in rng.choice(64, flips, replace=False):
                 mask[k] |= np.uint64(1) << np.uint64(bit)
-        at, items = p.near(values ^ mask, (False, 3))
+        at, items = p.near(values ^ mask, (False, WINDOW[False]))
         assert set(zip(range(len(values)), owners.tolist(), strict=True)) <= set(zip(at.tolist(), items.tolist(), strict=True))
 
 

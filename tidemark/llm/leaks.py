@@ -14,9 +14,10 @@ from tidemark.llm.normal import characters, tokens
 
 #: Runs of successive tokens that are compared: words, and single characters of Chinese texts.
 RUN = {False: 3, True: 4}
-#: Runs in one fingerprint. A copy that keeps half of a passage's runs, each changed word breaking RUN of them,
-#: keeps RUN successive ones somewhere, so one of its windows of that size is that of the passage itself.
-WINDOW = {False: 3, True: 4}
+#: Runs in one fingerprint. Between two stretches that a copy keeps, RUN - 1 runs at least are broken (by a word
+#: put in or taken out; a changed one breaks RUN). A copy that keeps half of all runs therefore keeps RUN - 1
+#: successive ones somewhere, and its window there is one of the passage.
+WINDOW = {False: 2, True: 3}
 #: Bits in which fingerprints may differ; they are cut into one block more.
 RADIUS = 1
 #: Characters of passages that one pass may hold in a task; more passages are searched for in several passes.
