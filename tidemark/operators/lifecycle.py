@@ -100,3 +100,38 @@ def budget_suffix(df: DataFrame, key: str, order: list[Column], size: Column, bu
     """Of every key the newest rows, as long as their sizes together stay within ``budget``; ``order`` is newest first."""
     run = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("_s", F.sum(size).over(run)).where(F.col("_s") <= budget).drop("_s")
+
+
+def near_duplicates(df: DataFrame, scope: str, id_col: str, vector: str, size: int, distance: float, block: int = 2000) -> DataFrame:
+    """``(scope, a, b, distance)``, a < b: rows of one scope whose vectors are nearer than ``distance`` (cosine).
+
+    A scope is cut into blocks of about ``block`` rows, and each pair of blocks is compared by one matrix
+    product in one task, so that no task holds more than two blocks however large a scope is. Vectors that are
+    null, of another length, not finite or zero are left out.
+    """
+    import numpy as np
+    import pandas as pd
+
+    col = F.col(vector)
+    fits = F.coalesce((F.size(col) == size) & F.forall(col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(col, lambda x: x != 0), F.lit(False))
+    rows = df.where(fits & F.col(scope).isNotNull()).select(F.col(scope).alias("s"), F.col(id_col).alias("id"), col.alias("v"))
+    counts = rows.groupBy("s").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = rows.join(counts, "s").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    spread = placed.select("s", "id", "v", "own", other).select("s", "id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        left, right = (np.flatnonzero(pdf["own"] == pdf[k]) for k in ("i", "j"))
+        far = 1 - x[left] @ x[right].T
+        a, b = np.nonzero(far < distance)
+        ids = pdf["id"].to_numpy()
+        out = pd.DataFrame({"s": pdf["s"].iloc[0], "a": ids[left[a]], "b": ids[right[b]], "distance": far[a, b]})
+        swap = out["a"] > out["b"]
+        out.loc[swap, ["a", "b"]] = out.loc[swap, ["b", "a"]].to_numpy()
+        return out[out["a"] != out["b"]].drop_duplicates(["a", "b"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    found = spread.groupBy("s", "i", "j").applyInPandas(compare, f"s {rows.schema['s'].dataType.simpleString()}, a {kind}, b {kind}, distance double")
+    return found.select(F.col("s").alias(scope), "a", "b", "distance")

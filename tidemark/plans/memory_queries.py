@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions import vectors as V
 from tidemark.operators import analytics as A
+from tidemark.operators import episodes as E
 from tidemark.operators import filters as P
 from tidemark.operators import graph as G
 from tidemark.operators import lifecycle as L
@@ -611,3 +612,114 @@ def x_gap_sessions(spark: SparkSession, d: str) -> DataFrame:
 
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return gap_sessions(e, "ts", "2 hours", "user_id").select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+# ---- episodes, context, erasure, more retrieval
+
+_EV = "ev AS (SELECT DISTINCT session_id, id, user_id, role, content, length(content) AS at_ FROM scenarios WHERE session_id IS NOT NULL AND content IS NOT NULL)"
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """Event rows in a stated order that SQL can repeat: by the length of the content, then id."""
+    e = table(spark, d, "scenarios").where("session_id is not null and content is not null")
+    return e.select("session_id", "id", "user_id", "role", "content", F.char_length("content").cast("bigint").alias("at"))
+
+
+@query("x6_compact", f"WITH {_EV} SELECT session_id, min(user_id) AS user_id, arg_min(CASE WHEN lower(trim(role)) = 'user' THEN (CASE WHEN length(content) > 60 THEN substr(content, 1, 60) || '...' ELSE content END) END, CASE WHEN lower(trim(role)) = 'user' THEN struct_pack(a := at_, id := id) END) AS title, substr(array_to_string(list_slice(list(content ORDER BY at_, id), 1, 5), chr(10)), 1, 2000) AS summary, count(*) AS n, sum(strlen(content) // 4 + 10) AS tokens, min(at_) AS start_at, max(at_) AS end_at, sum(strlen(content) // 4 + 10) < 200 AS small FROM ev GROUP BY 1")
+def x6_compact(spark: SparkSession, d: str) -> DataFrame:
+    return E.compacted(_events(spark, d))
+
+
+@query("x13_session_context", f"WITH {_EV}, o AS (SELECT * FROM ev WHERE session_id = (SELECT min(session_id) FROM ev)), s AS (SELECT *, sum(strlen(content) // 4 + 10) OVER (ORDER BY at_ DESC, id DESC ROWS UNBOUNDED PRECEDING) AS s FROM o) SELECT id, role, content, at_ AS \"at\" FROM s WHERE s <= 150")
+def x13_session_context(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d)
+    return E.session_context(e, e.agg(F.min("session_id")).first()[0], 150)
+
+
+@query("w7_chunks")
+def w7_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return E.chunks(table(spark, d, "documents").select("doc_id", "text"), "text", 5, 1).select("doc_id", "chunk_no", "chunk")
+
+
+@query("j11_episode_priority", "WITH q AS (SELECT session_id, count(DISTINCT id) AS queried_count FROM memories WHERE session_id IS NOT NULL GROUP BY 1), e AS (SELECT DISTINCT user_id AS id, session_id FROM scenarios WHERE session_id IS NOT NULL) SELECT id, coalesce(max(queried_count), 0) AS queried FROM e LEFT JOIN q USING (session_id) GROUP BY 1")
+def j11_episode_priority(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "memories").where("session_id is not null").groupBy("session_id").agg(F.count_distinct("id").alias("queried_count"))
+    # a session's user is one of a few; sessions of one user are gathered by id only
+    s = table(spark, d, "scenarios").where("session_id is not null").groupBy(F.col("user_id").alias("id")).agg(F.collect_set("session_id").alias("session_ids"), F.count("*").alias("significance"))
+    return E.priorities(s, q).select("id", "queried")
+
+
+@query("m3_near_duplicates", f"WITH {_CUR}, v AS (SELECT user_id, id, CAST(embedding AS DOUBLE[]) AS e FROM cur WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0) SELECT a.user_id, a.id AS a, b.id AS b, round(1 - list_cosine_similarity(a.e, b.e), 6) AS distance FROM v a JOIN v b ON a.user_id = b.user_id AND a.id < b.id WHERE 1 - list_cosine_similarity(a.e, b.e) < 0.15")
+def m3_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    found = L.near_duplicates(memories(spark, d, "user_id", "embedding"), "user_id", "id", "embedding", 64, 0.15)
+    return found.select("user_id", "a", "b", F.abs(F.round("distance", 6)).alias("distance"))
+
+
+@query("m8_scoped_delete", f"WITH {_CUR} SELECT id, 'DELETE' AS event, content AS old_content FROM cur WHERE user_id = '{USER}' AND agent_id = '{AGENT}' AND NOT coalesce(immutable, false)")
+def m8_scoped_delete(spark: SparkSession, d: str) -> DataFrame:
+    return E.scoped_delete(memories(spark, d, "user_id", "agent_id", "immutable", "content"), P.in_scope(USER, AGENT))[1]
+
+
+@query("m13_access", f"WITH {_CUR}, l AS (SELECT superseded_by AS id, count(*) AS reads FROM memories WHERE superseded_by IS NOT NULL GROUP BY 1) SELECT id, access_count + coalesce(reads, 0) AS access_count, round(CASE WHEN reads IS NULL THEN stability ELSE least(365.0, stability * (1 + 0.3 * (1 - {_RET.format(_DAYS)}))) END, 5) AS stability FROM cur LEFT JOIN l USING (id) WHERE stability IS NOT NULL AND access_count IS NOT NULL")
+def m13_access(spark: SparkSession, d: str) -> DataFrame:
+    m = memories(spark, d, "access_count", "stability", "resolution", "updated_at").where("stability is not null and access_count is not null")
+    log = table(spark, d, "memories").where("superseded_by is not null").select(F.col("superseded_by").alias("id"))
+    out = E.accessed(m, log, L.days_between(P.stored_time(F.col("updated_at")), now()))
+    return out.select("id", "access_count", F.round("stability", 5).alias("stability"))
+
+
+@query("m15_erase_user", f"SELECT 'memories' AS table_name, count(*) AS n FROM memories WHERE user_id IS NULL OR user_id <> '{USER}' UNION ALL SELECT 'scenarios', count(*) FROM scenarios WHERE user_id IS NULL OR user_id <> '{USER}' UNION ALL SELECT 'links', count(*) FROM (SELECT DISTINCT id, superseded_by FROM memories WHERE superseded_by IS NOT NULL) l WHERE superseded_by NOT IN (SELECT id FROM memories WHERE user_id = '{USER}')")
+def m15_erase_user(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "memories")
+    links = m.where("superseded_by is not null").select(F.col("id").alias("src"), "superseded_by").distinct()
+    out = E.erased({"memories": m, "scenarios": table(spark, d, "scenarios"), "links": links}, USER, {"links": ("superseded_by", "memories")})
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n") for t, df in out.items()])
+
+
+@query("c12_numbers", r"SELECT DISTINCT id, len(n) AS n, round(list_sum(n), 2) AS total FROM (SELECT id, list_filter(list_transform(regexp_extract_all(content, '[0-9][0-9.,]*'), lambda x: TRY_CAST(rtrim(replace(x, ',', ''), '.') AS DOUBLE)), lambda x: x > 0 AND x < 1e12) AS n FROM memories WHERE content IS NOT NULL) WHERE len(n) > 0")
+def c12_numbers(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "memories").where("content is not null").select("id", X.numbers(F.col("content")).alias("v")).where("size(v) > 0")
+    return m.select("id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 2).alias("total")).distinct()
+
+
+@query("c32_lexical_embedding")
+def c32_lexical_embedding(spark: SparkSession, d: str) -> DataFrame:
+    return memories(spark, d, "content").select("id", V.lexical_embedding()(F.col("content")).alias("embedding"))
+
+
+@query("r6_temporal_channel", f"WITH {_CUR} SELECT id FROM cur WHERE CAST({_TIME.format('created_at')} AS DATE) BETWEEN DATE '2023-03-01' AND DATE '2023-03-31' OR CAST({_TIME.format('created_at')} AS DATE) = DATE '2023-05-17'")
+def r6_temporal_channel(spark: SparkSession, d: str) -> DataFrame:
+    from datetime import date
+
+    from tidemark.functions.timephrases import time_ranges
+
+    ranges = [(str(a), str(b)) for a, b in time_ranges("what happened in March 2023 and on 2023-05-17", date(2024, 6, 1))]
+    return memories(spark, d, "created_at").where(P.day_ranges(P.stored_time(F.col("created_at")), ranges)).select("id")
+
+
+@query("r16_graph_search", f"WITH RECURSIVE e AS ({_HIERARCHY}), h AS (SELECT 'n' || n_nationkey AS id FROM nation WHERE n_nationkey IN (1, 2)), r AS (SELECT id, 0 AS hops FROM h UNION SELECT e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.id WHERE r.hops < 2) SELECT id, min(hops) AS hops FROM r GROUP BY 1")
+def r16_graph_search(spark: SparkSession, d: str) -> DataFrame:
+    def edges(t: str, a: str, x: str, b: str, y: str) -> DataFrame:
+        return table(spark, d, t).select(F.concat(F.lit(a), F.col(x)).alias("src"), F.concat(F.lit(b), F.col(y)).alias("dst"))
+
+    e = edges("nation", "r", "n_regionkey", "n", "n_nationkey").unionByName(edges("supplier", "n", "s_nationkey", "s", "s_suppkey")).unionByName(edges("customer", "n", "c_nationkey", "c", "c_custkey"))
+    named = G.entity_search(table(spark, d, "nation").select("n_nationkey", F.col("n_nationkey").cast("string").alias("name")), "", F.col("n_nationkey").isin(1, 2))
+    return G.neighbourhood(e, named.select(F.concat(F.lit("n"), "name").alias("id")), 2)
+
+
+@query("r22_episode_search", f"WITH {_EV}, ep AS (SELECT session_id, substr(array_to_string(list_slice(list(content ORDER BY at_, id), 1, 5), chr(10)), 1, 2000) AS summary FROM ev GROUP BY 1), {_bm25_sql('ep', 'session_id', 'summary', ['collar', 'lighthouse'])} SELECT id, round(score, 5) AS score FROM b ORDER BY round(score, 9) DESC, id LIMIT 10")
+def r22_episode_search(spark: SparkSession, d: str) -> DataFrame:
+    found = R.bm25(E.compacted(_events(spark, d)), "session_id", "summary", ["collar", "lighthouse"])
+    return R.top(found.select("id", F.round("score", 9).alias("score")), 10).select("id", F.round("score", 5).alias("score"))
+
+
+@query("r24_session_discovery", f"SELECT label, round(min(1 - {_COS}), 6) AS distance FROM embeddings e WHERE vec_id <> 0 GROUP BY 1")
+def r24_session_discovery(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").where("vec_id <> 0")
+    scored = e.withColumn("s", V.similarity_to(_query_vector(spark, d))("embedding"))
+    return scored.groupBy("label").agg(F.round(F.min(1 - F.col("s")), 6).alias("distance"))
+
+
+@query("a10_channel_confidence", f"WITH {_FUSE}, sc AS (SELECT 'text' AS channel, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM b UNION ALL SELECT 'overlap', score, row_number() OVER (ORDER BY score DESC, id) FROM o WHERE score > 0) SELECT channel, round(avg(score) / (1 + coalesce(stddev_samp(score), 0)), 5) AS confidence FROM sc WHERE rank <= 10 GROUP BY 1")
+def a10_channel_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return R.channel_confidence(_document_ranks(spark, d, 100), 10).select("channel", F.round("confidence", 5).alias("confidence"))
