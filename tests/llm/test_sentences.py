@@ -72,3 +72,16 @@ def test_table(spark):
     df = spark.createDataFrame([(1, "One. Two.", "x"), (2, None, "x"), (3, " ", "x"), (1, "One. Two.", "x")], "doc_id bigint, text string, start_at string")
     assert sorted(tuple(r) for r in sentences(df).collect()) == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9)]
     assert sentences(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["the train leaves at 9 p.m.", "can you remind me?", "the crate belongs to zorn inc.", "how long does it last?!", "the zorn inc. manual lists 3 parts."],
+        ["the sign was made in the u.s.", "which of the 9 notes is still valid?", "it cost 3, etc. as the list shows.", "dr. holt checked it at 8 a.m. and wrote a note."],
+        ['she said: "the gate is open."', 'the sign says "closed!" in red letters.', "j. k. stone painted it in jan. 2021.", "v2.1 shipped."],
+    ],
+)
+def test_paragraphs_without_capitals(parts):
+    text = "A heading\n\n" + " ".join(parts)
+    assert [text[a:b] for a, b in sentence_spans(text)] == ["A heading", *parts]

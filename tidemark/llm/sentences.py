@@ -30,6 +30,9 @@ GOES_ON = "最后 终于 然后 后来 结果 但是 可是 不过 而且 于是
 AFTER_QUOTE = "就 然后 便 接着 随后 并 说 道 问 喊 ， 、 と って という".split()
 CONJUNCTIONS = set("and or as but which that in on at to with for of from by is are was were has had so while because".split())
 
+#: Words that start a sentence rather than go on after an abbreviation, where nothing is in capitals.
+OPENERS = re.compile(r"(?:the|a|an|my|your|his|her|our|this|these|those|there|i|we|you|he|she|it|they|how|where|when|why|who|what|is|are|did|does|do|can|could|will|please|nobody|two|no\.|once|last|then|during|despite|according|around|which of|by then|in the|on \p{L}+day|at \d+)\b|v?\d")
+
 _END = "。．｡！？!?؟۔।॥։።‼⁇⁈⁉‽…"
 _OPEN, _CLOSE = "“「『„«‹（(［[【〈《", "”」』“»›）)］]】〉》"
 _PAIR = {"“": "”", "「": "」", "『": "』", "„": "“”", "«": "»", "‹": "›", "（": "）)", "(": ")）", "［": "］", "[": "]", "【": "】", "〈": "〉", "《": "》"}
@@ -136,8 +139,10 @@ class _Paragraph:
             return False
         if word in EITHER:
             if self.lower:
+                if c in '"“„«(' or OPENERS.match(text, nxt):
+                    return True
                 follow = _WORD.match(text, nxt)
-                return not (word in ("inc", "ltd", "co", "corp") or (follow and follow[0] in CONJUNCTIONS)) or c in '"“„«('
+                return not (word in ("inc", "ltd", "co", "corp") or (follow and follow[0] in CONJUNCTIONS))
             return True
         single = len(m[0]) == 1 and (m[0].isupper() or self.lower)
         if single and m[0].isascii():
@@ -249,18 +254,17 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     Null, empty and blank texts have none. A blank line always ends a sentence, a single line break does not.
     Terminators of all scripts end a sentence unless they stand in a quotation or bracket that goes on, after
     an abbreviation, initial or ordinal, or inside a number, name of a file or address of a page. Closing marks
-    and emoji belong to the sentence before them. In texts without capital letters, the case of the next word
-    is not asked for.
+    and emoji belong to the sentence before them. In paragraphs without capital letters, the case of the
+    next word is not asked for.
     """
     if not text:
         return []
-    letters = text[:4000]
-    lower = not any(c.isupper() for c in (letters.split("\n", 1)[1] if "\n" in letters and len(letters) > 200 else letters))
     found, at = [], 0
-    for m in _PARAGRAPH.finditer(text):
-        found.extend(_Paragraph(text, at, m.start(), lower).spans())
-        at = m.end()
-    found.extend(_Paragraph(text, at, len(text), lower).spans())
+    for m in [*_PARAGRAPH.finditer(text), None]:
+        end = m.start() if m else len(text)
+        part = text[at:end]
+        found.extend(_Paragraph(text, at, end, part.lower() == part).spans())
+        at = m.end() if m else end
     return found
 
 
