@@ -14,7 +14,10 @@ from tidemark.llm.pii_labels import KINDS
 N_TAGS = 1 + 2 * len(KINDS)
 #: Characters of a window, and those it shares with the next one.
 WINDOW, OVERLAP = 256, 96
-BATCH = 512
+BATCH = 256
+#: Steps a unit, and the range, of the table from which the hyperbolic tangent is read; it is exact to a thousandth.
+GRAIN, REACH = 512, 8
+TANH = np.tanh((np.arange(2 * REACH * GRAIN) - REACH * GRAIN) / GRAIN).astype(np.float32)
 
 PAD, SPACE, BREAK, DIGIT, HAN, KANA, LATIN, OTHER = range(8)
 RESERVED = 8
@@ -46,7 +49,9 @@ class Alphabet:
 
     def encode(self, text: str) -> np.ndarray:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return np.where(codes < 0x10000, self.low[np.minimum(codes, 0xFFFF)], np.where(codes < 0x20000, OTHER, HAN)).astype(np.int32)
+        if len(codes) and codes.max() >= 0x10000:
+            return np.where(codes < 0x10000, self.low[np.minimum(codes, 0xFFFF)], np.where(codes < 0x20000, OTHER, HAN)).astype(np.int32)
+        return self.low[codes]
 
 
 def _reversed(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -63,54 +68,73 @@ class Tagger:
         self.alphabet = Alphabet(chars)
         self.hidden = weights["u"].shape[1]
         h = self.hidden
-        scale = np.ones(4 * h, np.float32)
-        scale[: 3 * h] = 0.5  # a logistic gate is a tangent of half its argument
-        self.table = ((np.einsum("ve,deg->dvg", weights["emb"], weights["w"]) + weights["b"][:, None]) * scale).astype(np.float32)
-        self.u = (weights["u"] * scale).astype(np.float32)
-        self.out, self.bias = weights["out"].astype(np.float32), weights["bias"].astype(np.float32)
+        # A logistic gate is (1 + tanh(x / 2)) / 2. The table's scale and that half go into the weights, and since
+        # states are kept doubled, as (1 + t) tanh(cell), another half into all that reads them.
+        scale = np.full(4 * h, GRAIN, np.float32)
+        scale[: 3 * h] /= 2
+        table = (np.einsum("ve,deg->dvg", weights["emb"], weights["w"]) + weights["b"][:, None]) * scale + (REACH * GRAIN + 0.5)
+        self.table = np.ascontiguousarray(table, np.float32)
+        self.u = (weights["u"] * scale / 2).astype(np.float32)
+        self.out, self.bias = (weights["out"] / 2).astype(np.float32), weights["bias"].astype(np.float32)
         self.trans, self.first, self.last = (weights[k].astype(np.float32) for k in ("trans", "first", "last"))
-        #: Beyond this lead of "outside" at every character no other path can be better.
-        self.lead = float(2 * max(0.0, max(self.trans.max(), self.first.max(), self.last.max()) - min(self.trans[0, 0], self.first[0], self.last[0])))
+        stay = self.trans[0, 0]
+        enter = max(self.trans[0, 1:].max() - stay, self.first[1:].max() - self.first[0])
+        leave = max(self.trans[1:, 0].max() - stay, self.last[1:].max() - self.last[0])
+        #: What m characters of a path inside a span gain by transitions is at most enter + leave + (m - 1) within;
+        #: where "outside" leads by this much at every character, no other path can be better.
+        self.lead = float(max(enter + leave, self.trans[1:, 1:].max() - stay, 0.0))
 
     def emissions(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Scores (time, batch, tag) of padded columns of character numbers."""
         steps, batch, h = ids.shape[0], ids.shape[1], self.hidden
         both = np.stack([ids, _reversed(ids, lengths)], axis=1)
-        states = np.empty((steps, 2, batch, h), np.float32)
-        hid, cell = np.zeros((2, batch, h), np.float32), np.zeros((2, batch, h), np.float32)
+        states = np.zeros((steps + 1, 2, batch, h), np.float32)
+        cell, inner, add = np.zeros((2, batch, h), np.float32), np.empty((2, batch, h), np.float32), np.empty((2, batch, h), np.float32)
+        z, looked = np.empty((2, batch, 4 * h), np.float32), np.empty((2, batch, 4 * h), np.float32)
+        at, at_cell = np.empty((2, batch, 4 * h), np.int32), np.empty((2, batch, h), np.int32)
         for t in range(steps):
-            z = np.matmul(hid, self.u)
-            z[0] += self.table[0][both[t, 0]]
-            z[1] += self.table[1][both[t, 1]]
-            np.tanh(z, out=z)
+            np.matmul(states[t], self.u, out=z)
+            np.take(self.table[0], both[t, 0], axis=0, out=looked[0], mode="clip")
+            np.take(self.table[1], both[t, 1], axis=0, out=looked[1], mode="clip")
+            z += looked
+            np.copyto(at, z, casting="unsafe")
+            np.take(TANH, at, out=z, mode="clip")
             gates = z[:, :, : 3 * h]
             gates += 1
-            gates *= 0.5
             cell *= gates[:, :, h : 2 * h]
-            cell += gates[:, :, :h] * z[:, :, 3 * h :]
-            np.multiply(gates[:, :, 2 * h :], np.tanh(cell), out=hid)
-            states[t] = hid
-        ahead = states[:, 0] @ self.out[:h]
-        back = states[:, 1] @ self.out[h:]
+            np.multiply(gates[:, :, :h], z[:, :, 3 * h :], out=add)
+            cell += add
+            cell *= 0.5
+            np.multiply(cell, GRAIN, out=inner)
+            inner += REACH * GRAIN + 0.5
+            np.copyto(at_cell, inner, casting="unsafe")
+            np.take(TANH, at_cell, out=inner, mode="clip")
+            np.multiply(gates[:, :, 2 * h :], inner, out=states[t + 1])
+        ahead = states[1:, 0] @ self.out[:h]
+        back = states[1:, 1] @ self.out[h:]
         return ahead + _reversed(back, lengths) + self.bias
 
     def best_path(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The best tags (time, batch) under the transitions."""
-        steps, batch, tags = scores.shape
-        came = np.zeros((steps, batch, tags), np.int8)
-        value = scores[0] + self.first
+        steps, batch, _ = scores.shape
+        by_tag = np.ascontiguousarray(scores.transpose(0, 2, 1))
+        values = np.empty_like(by_tag)  # the best score of each tag so far; it stands still once a column has ended
+        values[0] = by_tag[0] + self.first[:, None]
+        step = np.ascontiguousarray(self.trans.T)[:, :, None]  # new, old
+        every = np.empty((N_TAGS, N_TAGS, batch), np.float32)
+        ends = int(lengths.min())
         for t in range(1, steps):
-            every = value[:, :, None] + self.trans
-            came[t] = every.argmax(axis=1)
-            new = every.max(axis=1) + scores[t]
-            live = (t < lengths)[:, None]
-            value = np.where(live, new, value)
+            np.add(values[t - 1], step, out=every)
+            np.max(every, axis=1, out=values[t])
+            values[t] += by_tag[t]
+            if t >= ends:
+                np.copyto(values[t], values[t - 1], where=t >= lengths)
         path = np.zeros((steps, batch), np.int8)
-        tag = (value + self.last).argmax(axis=1).astype(np.int8)
-        who = np.arange(batch)
+        tag = (values[-1] + self.last[:, None]).argmax(axis=0)
         for t in range(steps - 1, -1, -1):
             path[t] = np.where(t < lengths, tag, 0)
-            tag = np.where((t < lengths) & (t > 0), came[t, who, tag], tag)
+            if t:
+                tag = np.where(t < lengths, (values[t - 1] + self.trans[:, tag]).argmax(axis=0), tag)
         return path
 
     def tags(self, texts: list[str]) -> list[np.ndarray]:
