@@ -79,7 +79,7 @@ def test_table(spark):
     [
         ["the train leaves at 9 p.m.", "can you remind me?", "the crate belongs to zorn inc.", "how long does it last?!", "the zorn inc. manual lists 3 parts."],
         ["the sign was made in the u.s.", "which of the 9 notes is still valid?", "it cost 3, etc. as the list shows.", "dr. holt checked it at 8 a.m. and wrote a note."],
-        ['she said: "the gate is open."', 'the sign says "closed!" in red letters.', "j. k. stone painted it in jan. 2021.", "v2.1 shipped."],
+        ['she said: "the gate is open."', 'the sign says "closed!" in red letters.', "j. k. stone painted it in jan. 2021.", "v2.1 shipped.", "the zing! brand sold it.", "der 9. eintrag usw. wurden gelöscht."],
     ],
 )
 def test_paragraphs_without_capitals(parts):

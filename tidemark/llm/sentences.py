@@ -28,7 +28,7 @@ BEFORE_ORDINAL = set("der die das den dem des am im vom zum zur beim ein eine ei
 #: Words that go on after an ellipsis or a quoted passage where letters have no case.
 GOES_ON = "最后 终于 然后 后来 结果 但是 可是 不过 而且 于是 才 やっと ようやく そして でも しかし ついに それから".split()
 AFTER_QUOTE = "就 然后 便 接着 随后 并 说 道 问 喊 ， 、 と って という".split()
-CONJUNCTIONS = set("and or as but which that in on at to with for of from by is are was were has had so while because".split())
+CONJUNCTIONS = set("and or as but which that in on at to with for of from by is are was were has had so while because wurde wurden wird werden sind ist und oder mit comme et ou como y o con".split())
 
 #: Words that start a sentence rather than go on after an abbreviation, where nothing is in capitals.
 OPENERS = re.compile(r"(?:the|a|an|my|your|his|her|our|this|these|those|there|i|we|you|he|she|it|they|how|where|when|why|who|what|is|are|did|does|do|can|could|will|please|nobody|two|no\.|once|last|then|during|despite|according|around|which of|by then|in the|on \p{L}+day|at \d+)\b|v?\d")
@@ -221,7 +221,7 @@ class _Paragraph:
                 elif nxt == after and after < end and text[after].isascii():
                     cut = text[after].isupper() or text[after] in '"('
                 else:
-                    cut = self.starts(nxt)
+                    cut = self.starts(nxt) and not (self.lower and mark[0] == "!" and text.count(" ", begin, at) < 2 and text[nxt : nxt + 1].islower())
             if cut:
                 while after < end and text[after] in "!?！？…؟":
                     after += 1
