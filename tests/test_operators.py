@@ -212,3 +212,26 @@ def test_change_feed(spark):
 def test_broken_references(spark):
     a = spark.createDataFrame([("1", "x"), ("2", "9"), ("3", None)], "id string, ref string")
     assert [tuple(r) for r in S.broken_references({"a": a}, [("a", "ref", "a", "id")]).orderBy("id").collect()] == [("a.ref", "9"), ("a.ref", "x")]
+
+
+def test_near_duplicates_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = []
+    for k in range(300):
+        v = rng.normal(size=4)
+        rows += [("hot" if k % 3 else f"u{k % 9}", f"m{k:03}", [float(x) for x in v])]
+    rows += [("hot", "null", None), ("hot", "zero", [0.0] * 4), ("hot", "nan", [float("nan")] * 4), ("hot", "short", [1.0]), (None, "lost", [1.0] * 4)]
+    df = spark.createDataFrame(rows, "user string, id string, v array<float>")
+    good = [(u, i, np.array(v, np.float32).astype(float)) for u, i, v in rows[:300]]
+    want = set()
+    for x in range(300):
+        for y in range(x + 1, 300):
+            (u, i, a), (w, j, b) = good[x], good[y]
+            if u == w and 1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b) < 0.05:
+                want.add((u, i, j))
+    for block in (2000, 25):
+        got = [(r.user, r.a, r.b) for r in L.near_duplicates(df, "user", "id", "v", 4, 0.05, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    assert L.near_duplicates(df.where("false"), "user", "id", "v", 4, 0.05).count() == 0
