@@ -235,3 +235,30 @@ def test_near_duplicates_in_blocks(spark):
         got = [(r.user, r.a, r.b) for r in L.near_duplicates(df, "user", "id", "v", 4, 0.05, block).collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
     assert L.near_duplicates(df.where("false"), "user", "id", "v", 4, 0.05).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_greedy_duplicates_match_one_by_one(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    pairs = {(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(90)) if a < b}
+    kept, fallen = set(), {}
+    for b in range(60):
+        earlier = sorted(a for a, x in pairs if x == b and a in kept)
+        if earlier:
+            fallen[b] = earlier[0]
+        else:
+            kept.add(b)
+    got = {}
+    for r in L.greedy_duplicates(spark.createDataFrame(sorted(pairs), "a int, b int")).collect():
+        got[r.id] = min(r.kept, got.get(r.id, r.kept))
+    assert set(got) == set(fallen) and all(k in kept for k in got.values())
+    assert L.greedy_duplicates(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_graph_augmentation_adds_below_the_hits(spark):
+    hits = spark.createDataFrame([("a", 0.9), ("b", 0.5)], "id string, score double")
+    links = spark.createDataFrame([("a", "x"), ("a", "y"), ("c", "x"), ("c", "y"), ("d", "x"), ("b", "x"), ("e", "z")], "id string, name string")
+    got = {r.id: r.score for r in R.graph_augmented(hits, links).collect()}
+    assert set(got) == {"a", "b", "c", "d"} and 0.5 > got["c"] > got["d"] > 0

@@ -29,3 +29,26 @@ def test_replays_are_told_from_conflicts(spark):
 def test_gap_sessions(spark):
     df = spark.createDataFrame([("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 01:00:00"), ("u", "2024-01-01 05:00:00")], "u string, t string").selectExpr("u", "cast(t as timestamp) as t")
     assert sorted(r.n for r in gap_sessions(df, "t", "2 hours", "u").collect()) == [1, 2]
+
+
+def test_hooks_get_their_events_and_may_fail(spark, tmp_path):
+    from tidemark.streaming.ingest import hooked
+
+    source, out = str(tmp_path / "in"), tmp_path / "out"
+    out.mkdir()
+    schema = "event string, id string, data string"
+    spark.createDataFrame([("ADD", "1", "a"), ("DELETE", "2", "b"), ("ADD", "3", "c")], schema).write.parquet(source)
+    folder = str(out)
+
+    def write(rows):
+        import os
+        import uuid
+
+        with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+            f.write(",".join(r.id for r in rows))
+
+    def fail(rows):
+        raise ValueError("down")
+
+    hooked(spark.readStream.schema(schema).parquet(source), [({"ADD"}, fail), ({"ADD"}, write)], str(tmp_path / "cp")).awaitTermination()
+    assert sorted(x for p in out.iterdir() for x in p.read_text().split(",")) == ["1", "3"]

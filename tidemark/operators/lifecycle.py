@@ -135,3 +135,27 @@ def near_duplicates(df: DataFrame, scope: str, id_col: str, vector: str, size: i
     kind = rows.schema["id"].dataType.simpleString()
     found = spread.groupBy("s", "i", "j").applyInPandas(compare, f"s {rows.schema['s'].dataType.simpleString()}, a {kind}, b {kind}, distance double")
     return found.select(F.col("s").alias(scope), "a", "b", "distance")
+
+
+def greedy_duplicates(pairs: DataFrame) -> DataFrame:
+    """``(id, kept)``: rows that fall to an earlier kept row, as if rows were added one after the other.
+
+    ``pairs(a, b)`` are near duplicates, ``a`` the earlier row. A row without any earlier near duplicate left is
+    kept, its later ones fall; what then still has an earlier one waits for the next round. Only pairs take part,
+    and each round decides all rows whose earlier ones are decided. A row that several kept rows strike goes to
+    the first of them. Nulls and loops are ignored; an empty input gives an empty result.
+    """
+    from tidemark.tables import cut
+
+    open_pairs = cut(pairs.where("a is not null and b is not null and a <> b").select("a", "b").distinct())
+    fallen = None
+    while not open_pairs.isEmpty():
+        kept = open_pairs.select(F.col("a").alias("id")).distinct().join(open_pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+        hit = cut(open_pairs.join(kept.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("kept")))
+        if hit.isEmpty():  # the pairs run in a ring, so no order was given
+            break
+        fallen = hit if fallen is None else fallen.unionByName(hit)
+        gone = hit.select("id")
+        rest = open_pairs.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
+        open_pairs = cut(rest.select("a", "b"))
+    return fallen if fallen is not None else pairs.select(F.col("b").alias("id"), F.col("a").alias("kept")).where("false")

@@ -131,3 +131,16 @@ def hybrid_search(memories: DataFrame, query: str, vector: list[float] | None, s
         most = fused.agg(F.max("score").alias("_most"))
         fused = fused.join(named, "id", "left").crossJoin(F.broadcast(most)).select("id", F.when(F.col("_named"), F.col("_most") + 1).otherwise(F.col("score")).alias("score"))
     return top(fused, k)
+
+
+def graph_augmented(hits: DataFrame, links: DataFrame, first: int = 10, n: int = 10) -> DataFrame:
+    """``(id, score)``: the hits, and up to ``n`` rows that share an entity with the first ``first`` of them.
+
+    ``links`` is (id, name). Added rows rank below every hit, the more entities they share the higher.
+    """
+    lead = top(hits, first).select("id")
+    names = links.join(lead, "id", "left_semi").select("name").distinct()
+    near = links.join(names, "name", "left_semi").join(hits.select("id"), "id", "left_anti").groupBy("id").agg(F.count_distinct("name").alias("shared"))
+    least = hits.agg(F.coalesce(F.min("score"), F.lit(1.0)).alias("_least"))
+    added = top(near.withColumnRenamed("shared", "score"), n).crossJoin(F.broadcast(least))  # one row
+    return hits.select("id", "score").unionByName(added.select("id", (F.col("_least") * F.col("score") / (1.0 + F.col("score"))).alias("score")))

@@ -723,3 +723,20 @@ def r24_session_discovery(spark: SparkSession, d: str) -> DataFrame:
 @query("a10_channel_confidence", f"WITH {_FUSE}, sc AS (SELECT 'text' AS channel, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM b UNION ALL SELECT 'overlap', score, row_number() OVER (ORDER BY score DESC, id) FROM o WHERE score > 0) SELECT channel, round(avg(score) / (1 + coalesce(stddev_samp(score), 0)), 5) AS confidence FROM sc WHERE rank <= 10 GROUP BY 1")
 def a10_channel_confidence(spark: SparkSession, d: str) -> DataFrame:
     return R.channel_confidence(_document_ranks(spark, d, 100), 10).select("channel", F.round("confidence", 5).alias("confidence"))
+
+
+@query("m2_greedy_dedupe")
+def m2_greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    m = memories(spark, d, "user_id", "embedding", "created_at")
+    pairs = L.near_duplicates(m, "user_id", "id", "embedding", 64, 0.35)
+    at = m.select("id", "created_at")
+    timed = pairs.join(at.select(F.col("id").alias("a"), F.col("created_at").alias("ta")), "a").join(at.select(F.col("id").alias("b"), F.col("created_at").alias("tb")), "b")
+    swap = (F.col("ta") > F.col("tb")) | ((F.col("ta") == F.col("tb")) & (F.col("a") > F.col("b")))
+    return L.greedy_duplicates(timed.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")))
+
+
+@query("r13_graph_augmented")
+def r13_graph_augmented(spark: SparkSession, d: str) -> DataFrame:
+    m = memories(spark, d, "user_id", "content")
+    links = G.linked_memories(m, table(spark, d, "entities").where("entity_type = 'pet'"))
+    return R.graph_augmented(R.top(R.bm25(m, "id", "content", ["collar", "bowl"]), 30), links).select("id", F.round("score", 6).alias("score"))

@@ -62,3 +62,31 @@ def windowed_counts(events: DataFrame, time: str, width: str, late: str, by: lis
 def gap_sessions(events: DataFrame, time: str, gap: str, by: str) -> DataFrame:
     """Sessions that end after ``gap`` without events."""
     return events.groupBy(by, F.session_window(time, gap)).agg(F.count("*").alias("n")).select(by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def hooked(changes: DataFrame, hooks: list[tuple[set[str], object]], checkpoint: str) -> StreamingQuery:
+    """Call every hook (events it wants, function of a list of rows) with the changes of each batch, by partition.
+
+    A hook that fails is skipped: hooks are told, they do not decide. ``changes`` has ``event``, ``id`` and ``data``.
+    """
+
+    def fire(rows) -> None:
+        batch: list = []
+
+        def send() -> None:
+            for wanted, call in hooks:
+                try:
+                    mine = [r for r in batch if r.event in wanted]
+                    if mine:
+                        call(mine)
+                except Exception:  # noqa: BLE001, S110
+                    pass
+            batch.clear()
+
+        for r in rows:
+            batch.append(r)
+            if len(batch) == 500:
+                send()
+        send()
+
+    return changes.writeStream.foreachBatch(lambda df, _: df.foreachPartition(fire)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
