@@ -114,3 +114,9 @@ def test_lines_of_memories(spark, tmp_path):
         ("f6", "f6", s(2024, 1, 1), s(2024, 1, 1)),
         ("f6", "g7", s(2024, 1, 1), -1),
     ]
+
+
+def test_reserved_names_are_refused(spark):
+    df = spark.createDataFrame([("e", 1, 2)], "entity string, start bigint, until bigint")
+    with pytest.raises(ValueError):
+        build_history([df], "entity", "start", ["until"])

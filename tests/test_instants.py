@@ -108,3 +108,9 @@ def test_stated_zone_as_text(spark, zone):
     df = spark.createDataFrame([("2022-05-02 20:29:48",)], "value string")
     got = with_instant(df, "value", "at", zone).first()["at"]
     assert got == (us(2022, 5, 2, 20, 29, 48) if zone else None)
+
+
+def test_the_result_may_replace_a_column(spark):
+    df = spark.createDataFrame([("2022", "x")], "value string, out string")
+    assert with_instant(df, "value", "out", "UTC").first().asDict() == {"value": "2022", "out": us(2022, 1, 1)}
+    assert with_instant(df, "value", "value", "UTC").first().asDict() == {"value": us(2022, 1, 1), "out": "x"}

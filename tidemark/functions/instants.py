@@ -123,8 +123,8 @@ def with_instant(df: DataFrame, value: str, out: str, zone: Column | str | None
     starts with the month. Plain numbers count seconds, milliseconds or microseconds, whichever puts them into
     the years 1990 to 2100. A date, month or year alone is its first moment. Fractions finer than a
     microsecond are cut off. Null, empty and unreadable values, dates that do not exist, and wall clock times
-    that a zone shows twice or never give null. Helper columns have
-    reserved names (``_i_*``) and are dropped; all other columns of ``df`` stay as they are.
+    that a zone shows twice or never give null. A column named ``out`` is
+    replaced, also if it is ``value`` itself; names that start with ``_i_`` are reserved; all other columns stay as they are.
     """
     zones = zone_names(df.sparkSession)
     text = F.translate(F.col(value), "０１２３４５６７８９：／－．＋", "0123456789:/-.+")
@@ -182,4 +182,4 @@ def with_instant(df: DataFrame, value: str, out: str, zone: Column | str | None
     numeric = (e * c("_i_scale") + fine).cast("bigint")
     result = F.when(e.isNotNull(), numeric).when(c("_i_stated"), c("_i_wall") - c("_i_off") * (60 * MICROS)).otherwise(one).cast("bigint")
     helpers = [x for x in step.columns if x.startswith("_i_")]
-    return bound(step, {out: result}).drop(*helpers)
+    return bound(step, {"_i_out": result}).drop(*helpers).withColumn(out, c("_i_out")).drop("_i_out")

@@ -53,6 +53,9 @@ def build_history(snapshots: list[DataFrame], entity: str, start: str, payload:
     start are dropped; null payloads are values like any other. Empty inputs give an empty result.
     """
     tie = [c for c in (tie or []) if c not in payload]
+    reserved = {"_e", "from", "until", "own_end", "_until_known", "_head", "_tail", "_part"} & {*payload, *tie} | {entity} & {*payload, *tie, "from", "until"}
+    if reserved:
+        raise ValueError(f"reserved column names: {sorted(reserved)}")
     end_col = F.col(end).cast("bigint") if end else F.lit(None).cast("bigint")
     parts = [s.select(F.col(entity).alias("_e"), F.col(start).cast("bigint").alias("from"), *[F.col(c) for c in [*payload, *tie]], end_col.alias("own_end")) for s in snapshots]
     rows = parts[0]
