@@ -74,6 +74,8 @@ def test_tables(spark):
     got = sorted((r.id, r.kind, r.start_at) for r in find_pii(df, "content", ["id"]).collect())
     assert got == [("a", "name", 11), ("a", "name", 11), ("a", "phone", 39), ("a", "phone", 39), ("f", "name", 13), ("f", "phone", 41)]
     assert find_pii(df.where("false"), "content", ["id"]).count() == 0
+    with pytest.raises(ValueError):
+        find_pii(df.withColumnRenamed("id", "kind"), "content", ["kind"])
     out = {r.id: r.masked for r in mask_pii(df, "content").collect()}
     assert out["a"] == "My name is [NAME]. Call me at [PHONE]." and out["b"] is None and out["c"] == ""
 

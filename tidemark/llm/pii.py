@@ -110,6 +110,8 @@ def find_pii(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     rows; repeated rows give theirs again; columns besides keys and text are not read. Tags are checked for what
     their kind must have (digits, letters, an at sign) and widened to whole words.
     """
+    if {"kind", "start_at", "end_at", "_text"} & {*keys}:
+        raise ValueError("keys must not be named kind, start_at, end_at or _text")
     slim = df.select(*keys, F.col(text).alias("_text")).where("_text is not null")
     fields = [slim.schema[k] for k in keys]
     schema = T.StructType([*fields, T.StructField("kind", T.StringType()), T.StructField("start_at", T.LongType()), T.StructField("end_at", T.LongType())])
