@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import auto_tokens, identifiers, overlap_score
 from tidemark.functions.vectors import similarity_to
+from tidemark.tables import written
 
 #: Channel weights and the constant of reciprocal-rank fusion.
 WEIGHTS = {"vector": 0.3, "text": 0.35, "entity": 0.2, "overlap": 0.15, "identifier": 1.05}
@@ -30,21 +31,22 @@ def _count(words: str, term: str) -> Column:
 def bm25(docs: DataFrame, id_col: str, text: str, terms: list[str], scope: Column | None = None) -> DataFrame:
     """``(id, score)`` of documents with any of the terms; the statistics are those of the whole table.
 
-    Only the query's terms are counted, inside the row, so nothing is shuffled but one row of statistics and
-    the hits. Null texts are no documents.
+    Only the query's terms are counted, inside the row, so nothing is shuffled but one row of statistics. Null texts are no documents.
     """
     terms = sorted({t.lower() for t in terms if t})
-    words = docs.where(F.col(text).isNotNull()).select("*", auto_tokens(F.col(text)).alias("_ws"))
-    counted = words.select("*", F.size("_ws").alias("_dl"), *[_count("_ws", t).alias(f"_t{k}") for k, t in enumerate(terms)])
+    inside = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
+    words = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), inside.alias("_in"), auto_tokens(F.col(text)).alias("_ws"))
+    counted = words.select("id", "_in", F.size("_ws").alias("_dl"), *[_count("_ws", t).alias(f"_t{k}") for k, t in enumerate(terms)])
+    counted = written(counted)  # a few numbers a document, read twice below; the texts are cut into words once
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.sum((F.col(f"_t{k}") > 0).cast("int")).alias(f"_df{k}") for k in range(len(terms))])
     hit = reduce(lambda a, b: a | b, [F.col(f"_t{k}") > 0 for k in range(len(terms))], F.lit(False))
-    found = counted.where(hit if scope is None else hit & scope).crossJoin(F.broadcast(stats))  # one row of statistics
+    found = counted.where(hit & F.col("_in")).crossJoin(F.broadcast(stats))  # one row of statistics
     total = F.lit(0.0)
     for k in range(len(terms)):
         tf, df = F.col(f"_t{k}"), F.col(f"_df{k}")
         idf = F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5))
         total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
-    return found.select(F.col(id_col).alias("id"), total.alias("score"))
+    return found.select("id", total.alias("score"))
 
 
 def vector_channel(df: DataFrame, id_col: str, vector: str, query: list[float]) -> DataFrame:
