@@ -18,22 +18,25 @@ def compacted(events: DataFrame, processed: DataFrame | None = None, first: int
     """``(session_id, user_id, title, summary, n, tokens, start_at, end_at, small)``: one episode a session.
 
     ``events`` has ``session_id``, ``id``, ``user_id``, ``role``, ``content`` and ``at``; those in
-    ``processed(id)`` are left out. The title is the first message of a user, the summary the first ``first``
+    ``processed(id)`` are left out. Rows without ``at`` come last in their session. The title is the first message of a user, the summary the first ``first``
     messages, up to 2,000 characters. Only those messages are gathered, however long a session is. Sessions
     that are not ``small`` are for a model to purify; rows without session or content are ignored.
     """
-    rows = events.where("session_id is not null and content is not null").dropDuplicates(["session_id", "id"])
+    rows = events.where("session_id is not null and content is not null")
     if processed is not None:
         rows = rows.join(processed.select("id").distinct(), "id", "left_anti")
-    stats = rows.groupBy("session_id").agg(
-        F.min("user_id").alias("user_id"), F.min_by(F.when(F.lower(F.trim("role")) == "user", F.col("content")), F.when(F.lower(F.trim("role")) == "user", F.struct("at", "id"))).alias("title"),
-        F.count("*").alias("n"), F.sum(token_estimate(F.col("content"))).alias("tokens"), F.min("at").alias("start_at"), F.max("at").alias("end_at"),
+    keys, user = ["session_id", "id"], F.lower(F.trim("role")) == "user"
+    # the figures need no whole texts, so none are shuffled for them
+    slim = rows.select(*keys, "user_id", "at", user.alias("_user"), F.when(user, preview(F.col("content"), 60)).alias("_title"), token_estimate(F.col("content")).alias("_tokens")).dropDuplicates(keys)
+    stats = slim.groupBy("session_id").agg(
+        F.min("user_id").alias("user_id"), F.min_by("_title", F.when(F.col("_user"), F.struct(F.col("at").isNull().alias("_late"), "at", "id"))).alias("title"),
+        F.count("*").alias("n"), F.sum("_tokens").alias("tokens"), F.min("at").alias("start_at"), F.max("at").alias("end_at"),
     )
     order = Window.partitionBy("session_id").orderBy(F.asc_nulls_last("at"), "id")
-    lead = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= first)
+    lead = rows.select(*keys, "at", "content").dropDuplicates(keys).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= first)
     text = lead.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "content"))), lambda m: m.content), "\n").alias("summary"))
     joined = stats.join(text, "session_id")
-    return joined.select("session_id", "user_id", preview(F.col("title"), 60).alias("title"), F.substring("summary", 1, 2000).alias("summary"), "n", "tokens", "start_at", "end_at", (F.col("tokens") < SMALL).alias("small"))
+    return joined.select("session_id", "user_id", "title", F.substring("summary", 1, 2000).alias("summary"), "n", "tokens", "start_at", "end_at", (F.col("tokens") < SMALL).alias("small"))
 
 
 def session_context(events: DataFrame, session_id: str, budget: int, max_events: int = 1000) -> DataFrame:

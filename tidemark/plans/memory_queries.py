@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import vectors as V
+from tidemark.functions.instants import with_instant
 from tidemark.operators import analytics as A
 from tidemark.operators import episodes as E
 from tidemark.operators import filters as P
 from tidemark.operators import graph as G
 from tidemark.operators import lifecycle as L
 from tidemark.operators import retrieval as R
+from tidemark.plans.core_queries import with_owner_clock
 from tidemark.sources import exports as S
-from tidemark.tables import current_memories, table
+from tidemark.tables import current_memories, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -636,6 +638,24 @@ def x13_session_context(spark: SparkSession, d: str) -> DataFrame:
     return E.session_context(e, e.agg(F.min("session_id")).first()[0], 150)
 
 
+def _timed_events(spark: SparkSession, d: str) -> DataFrame:
+    """Event rows with the instant of their timestamp as ``at``, in microseconds; null where it is not one instant."""
+    e = table(spark, d, "scenarios").where("kind = 'event' and session_id is not null and content is not null")
+    clocked = with_owner_clock(e.select("session_id", "id", "user_id", "role", "content", "timestamp"), table(spark, d, "owners"))
+    return with_instant(clocked, "timestamp", "at", F.col("home_zone"), F.col("month_first")).select("session_id", "id", "user_id", "role", "content", "at")
+
+
+@query("x6_compact_timed")
+def x6_compact_timed(spark: SparkSession, d: str) -> DataFrame:
+    return E.compacted(written(_timed_events(spark, d)))
+
+
+@query("x13_session_context_timed")
+def x13_session_context_timed(spark: SparkSession, d: str) -> DataFrame:
+    first = table(spark, d, "scenarios").where("kind = 'event' and content is not null").agg(F.min("session_id")).first()[0]
+    return E.session_context(_timed_events(spark, d), first, 150)
+
+
 @query("w7_chunks")
 def w7_chunks(spark: SparkSession, d: str) -> DataFrame:
     return E.chunks(table(spark, d, "documents").select("doc_id", "text"), "text", 5, 1).select("doc_id", "chunk_no", "chunk")
@@ -713,6 +733,12 @@ def r22_episode_search(spark: SparkSession, d: str) -> DataFrame:
     return R.top(found.select("id", F.round("score", 9).alias("score")), 10).select("id", F.round("score", 5).alias("score"))
 
 
+@query("r22_episode_search_timed")
+def r22_episode_search_timed(spark: SparkSession, d: str) -> DataFrame:
+    found = R.bm25(E.compacted(written(_timed_events(spark, d))), "session_id", "summary", ["collar", "lighthouse"])
+    return R.top(found.select("id", F.round("score", 9).alias("score")), 10).select("id", F.round("score", 5).alias("score"))
+
+
 @query("r24_session_discovery", f"SELECT label, round(min(1 - {_COS}), 6) AS distance FROM embeddings e WHERE vec_id <> 0 GROUP BY 1")
 def r24_session_discovery(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").where("vec_id <> 0")
