@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import auto_tokens, identifiers, overlap_score
 from tidemark.functions.vectors import similarity_to
+from tidemark.operators import lifecycle as L
+from tidemark.operators.filters import day_ranges
 from tidemark.tables import written
 
 #: Channel weights and the constant of reciprocal-rank fusion.
@@ -108,24 +110,30 @@ def channel_confidence(ranks: DataFrame, k: int) -> DataFrame:
     return best.agg((F.avg("score") / (1 + F.coalesce(F.stddev_samp("score"), F.lit(0.0)))).alias("confidence"))
 
 
-def hybrid_search(memories: DataFrame, query: str, vector: list[float] | None, scope: Column, k: int = 10, pool: int = 30, entities: DataFrame | None = None) -> DataFrame:
+def hybrid_search(memories: DataFrame, query: str, vector: list[float] | None, scope: Column, k: int = 10, pool: int = 30, entities: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
     """``(id, score)`` of the best ``k`` rows in scope over all channels, fused by reciprocal rank.
 
     The scope is applied to every channel. A row that holds an identifier of the query goes to the top by one
-    point over the best. ``entities`` is a further channel of (id, score), such as linked memories.
+    point over the best. ``entities`` is a further channel of (id, score), such as linked memories. ``events``
+    has ``id``, ``content`` and the columns of the scope; its rows join the text, overlap and identifier
+    channels, with text statistics of their own. They have no vectors.
     """
     import re
 
     words = [w for w in re.split(r"[\s!-/:-@\[-`{-~]+", query.lower()) if w]
     own = memories.where(scope)
-    channels = {"text": bm25(memories, "id", "content", words, scope), "overlap": overlap_channel(own, "id", "content", words)}
+    text, texts = bm25(memories, "id", "content", words, scope), own.select("id", "content")
+    if events is not None:
+        text = text.unionByName(bm25(events, "id", "content", words, scope))
+        texts = texts.unionByName(events.where(scope).select("id", "content"))
+    channels = {"text": text, "overlap": overlap_channel(texts, "id", "content", words)}
     if vector is not None:
         channels["vector"] = vector_channel(own, "id", "embedding", vector)
     if entities is not None:
         channels["entity"] = entities
     wanted = [w for w in re.findall(r"[\w][\w\-.]*\w", query) if len(w.encode()) >= 4 and re.search(r"[0-9]", w)]
     if wanted:
-        channels["identifier"] = identifier_channel(own, "id", "content", wanted)
+        channels["identifier"] = identifier_channel(texts, "id", "content", wanted)
     ranks = ranked(channels, pool)
     fused = rrf(ranks, WEIGHTS)
     if wanted:
@@ -135,6 +143,24 @@ def hybrid_search(memories: DataFrame, query: str, vector: list[float] | None, s
     return top(fused, k)
 
 
+def rescored(hits: DataFrame, rows: DataFrame, count: int, now: Column, k: int = 10, ranges: list[tuple[str, str]] | None = None, per_session: int = 0, least: float | None = None) -> DataFrame:
+    """``(id, score)``: fused ``hits`` after the time boost, forgetting, resolution weights, session cap and threshold.
+
+    ``rows`` has ``id``, ``importance``, ``stability``, ``resolution``, ``session_id`` and the timestamps
+    ``updated_at`` and ``event_time``; hits without a row are left out. ``count`` is how many memories the user
+    has. Rows whose ``updated_at`` is null count as new. ``per_session`` 0 and ``least`` None switch these off.
+    """
+    known = rows.join(F.broadcast(hits.select("id", "score")), "id").dropDuplicates(["id"])  # k hits
+    near = F.when(F.coalesce(day_ranges(F.col("event_time"), ranges or []), F.lit(False)), F.col("score") * 1.5).otherwise(F.col("score"))
+    most = F.greatest(F.max("score").over(Window.partitionBy(F.lit(0))), F.lit(0.001))  # of the k hits
+    days = F.coalesce(L.days_between(F.col("updated_at"), now), F.lit(0.0))
+    kept = L.retention(days, F.coalesce("stability", F.lit(1.0)), F.col("resolution"))
+    value = L.forgetting_score(F.least(F.lit(1.0), F.col("score") / most), kept, L.interference(F.lit(count)), F.coalesce("importance", F.lit(0.5)))
+    weighted = known.withColumn("score", near).withColumn("score", value * L.by_value(F.col("resolution"), L.RESOLUTION_WEIGHT, 1.0))
+    best = top(session_cap(weighted, per_session), k).select("id", "score")
+    return best if least is None else best.where(F.col("score") >= least)
+
+
 def graph_augmented(hits: DataFrame, links: DataFrame, first: int = 10, n: int = 10) -> DataFrame:
     """``(id, score)``: the hits, and up to ``n`` rows that share an entity with the first ``first`` of them.
 

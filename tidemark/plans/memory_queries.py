@@ -532,12 +532,28 @@ def r18_forgetting_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r21_hybrid_search")
 def r21_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d, "content", "embedding", "user_id", "agent_id", "superseded_by", "expiration_date", "valid_until")
+    from datetime import date
+
+    from tidemark.functions.timephrases import time_ranges
+
+    text, scope = "blue collar PETFACT-001531", P.in_scope(USER, AGENT, merged=True) & P.active(now())
+    m = written(memories(spark, d, "content", "embedding", "user_id", "agent_id", "session_id", "superseded_by", "expiration_date", "valid_until", "importance", "stability", "resolution", "updated_at", "event_time"))
+    e = table(spark, d, "scenarios").where("kind = 'event'").dropDuplicates(["id"]).select("id", "content", "user_id", "agent_id", "session_id", "timestamp", "event_time")
+    e = written(e.select("*", *[F.lit(None).cast("string").alias(c) for c in ("superseded_by", "expiration_date", "valid_until")]))  # events are always active
     first = m.where((F.col("user_id") == USER) & F.col("embedding").isNotNull() & (F.size("embedding") == 64)).orderBy("id").first()
     vector = list(first["embedding"]) if first else None
     names = table(spark, d, "entities").where((F.col("user_id") == USER) & (F.col("entity_type") == "pet"))
-    linked = G.linked_memories(m.where(F.col("user_id") == USER), names).groupBy("id").agg(F.count("*").cast("double").alias("score"))
-    return R.hybrid_search(m, "blue collar PETFACT-001531", vector, P.in_scope(USER, AGENT, merged=True) & P.active(now()), 10, entities=linked).select("id", F.round("score", 8).alias("score"))
+    linked = G.linked_memories(m.where(scope), names).groupBy("id").agg(F.count("*").cast("double").alias("score"))
+    hits = written(R.hybrid_search(m, text, vector, scope, 10, entities=linked, events=e))
+    clocked = with_owner_clock(e.where(scope).join(F.broadcast(hits.select("id")), "id", "left_semi"), table(spark, d, "owners"))  # ten hits
+    for c in ("timestamp", "event_time"):
+        clocked = with_instant(clocked, c, c, F.col("home_zone"), F.col("month_first"))
+    stated = [F.lit(0.5).alias("importance"), F.lit(1.0).alias("stability"), F.lit("granular").alias("resolution")]
+    said = clocked.select("id", "session_id", F.timestamp_micros("timestamp").alias("updated_at"), F.timestamp_micros("event_time").alias("event_time"), *stated)
+    held = m.where(scope).select("id", "session_id", P.stored_time(F.col("updated_at")).alias("updated_at"), P.stored_time(F.col("event_time")).alias("event_time"), "importance", "stability", "resolution")
+    ranges = [(str(a), str(b)) for a, b in time_ranges(text, date.fromisoformat(NOW[:10]))]
+    found = R.rescored(hits, held.unionByName(said), m.where(F.col("user_id") == USER).count(), now(), 10, ranges)
+    return found.select("id", F.round("score", 8).alias("score"))
 
 
 # ---- modification and lifecycle
