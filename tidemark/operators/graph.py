@@ -50,9 +50,10 @@ def linked_memories(memories: DataFrame, names: DataFrame) -> DataFrame:
     return joined.where(F.rlike("content", bound)).select("id", "name").distinct()
 
 
-def cooccurrence(links: DataFrame, cap: int = 5) -> DataFrame:
-    """``(a, b, n)``: how many rows hold both names, from the first ``cap`` names of each row."""
-    names = links.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("name")), 1, cap).alias("names"))
+def cooccurrence(links: DataFrame, cap: int | None = None) -> DataFrame:
+    """``(a, b, n)``: how many rows hold both names; with ``cap``, from the first names of each row in sort order only."""
+    every = F.sort_array(F.collect_set("name"))
+    names = links.groupBy("id").agg((every if cap is None else F.slice(every, 1, cap)).alias("names"))
     left = names.select("id", F.posexplode("names").alias("i", "a"), "names")
     pairs = left.select("id", "i", "a", F.posexplode("names").alias("j", "b")).where("i < j")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
