@@ -56,6 +56,57 @@ def vector_channel(df: DataFrame, id_col: str, vector: str, query: list[float])
     return df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), similarity_to(query)(F.col(vector)).alias("score"))
 
 
+def best_matches(queries: DataFrame, vectors: DataFrame, k: int, group: str | None = None, block: int = 2000) -> DataFrame:
+    """``(query, id, score)``, with ``group`` also that column: the ``k`` most similar ``vectors`` of every query, in each group.
+
+    Both frames have ``id`` and ``vector``, of one length and usable. The queries, a stated set, go to all rows
+    in blocks of ``block``; each batch of rows keeps only its best ``k``. A vector is no match of its own id.
+    """
+    import numpy as np
+    import pandas as pd
+
+    keys = [group] if group else []
+    asked = written(queries.select("id", "vector").withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(1 << 30))))
+    blocks = max(1, -(-asked.count() // block))
+    rows = vectors.select("id", "vector", *keys)
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = ", ".join([f"query {kind}", f"id {kind}", "score double", *[f"{g} {rows.schema[g].dataType.simpleString()}" for g in keys]])
+
+    def unit(v: list) -> np.ndarray:
+        x = np.array([list(r) for r in v], np.float64)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def answering(sent):  # noqa: ANN001, ANN202
+        def answer(batches):  # noqa: ANN001, ANN202
+            ids, wanted = sent.value
+            for pdf in batches:
+                for g, part in pdf.groupby(group, dropna=False) if group else [(None, pdf)]:
+                    part = part.sort_values("id", kind="stable")
+                    own = part["id"].to_numpy()
+                    scores = wanted @ unit(part["vector"]).T
+                    scores[ids[:, None] == own[None, :]] = -np.inf
+                    at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    found = np.take_along_axis(scores, at, 1)
+                    q, c = np.nonzero(np.isfinite(found))
+                    out = pd.DataFrame({"query": ids[q], "id": own[at[q, c]], "score": found[q, c]})
+                    for name in keys:
+                        out[name] = g
+                    yield out
+
+        return answer
+
+    parts = []
+    for b in range(blocks):
+        part = [(r.id, list(r.vector)) for r in asked.where(F.col("_part") % blocks == b).toLocalIterator()]
+        if part:
+            sent = rows.sparkSession.sparkContext.broadcast((np.array([p[0] for p in part]), unit([p[1] for p in part])))
+            parts.append(rows.mapInPandas(answering(sent), schema))
+    if not parts:
+        return rows.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("score"), *keys).where("false")
+    order = Window.partitionBy("query", *keys).orderBy(F.desc("score"), "id")
+    return reduce(DataFrame.unionByName, parts).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+
+
 def overlap_channel(df: DataFrame, id_col: str, text: str, query: list[str]) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), overlap_score(F.col(text), query).alias("score")).where("score > 0")
 

@@ -446,6 +446,30 @@ def r1_vector_filtered(spark: SparkSession, d: str) -> DataFrame:
     return R.top(R.vector_channel(e, "vec_id", "embedding", _query_vector(spark, d)), 10).select("id", F.round("score", 6).alias("score"))
 
 
+_PAIRCOS = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
+
+
+def _all_topk_sql(rows: str) -> str:
+    ranked = f"SELECT q.vec_id, e.vec_id AS id, {_PAIRCOS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_PAIRCOS} DESC, e.vec_id) AS r FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id AND {rows}"
+    return f"SELECT vec_id, id, round(s, 6) AS score FROM ({ranked}) WHERE r <= 10"
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+@query("r1_vector_topk_all", _all_topk_sql("true"))
+def r1_vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    e = _vectors(spark, d)
+    return R.best_matches(e.where("id % 100 = 0"), e, 10).select(F.col("query").alias("vec_id"), "id", F.round("score", 6).alias("score"))
+
+
+@query("r1_vector_filtered_all", _all_topk_sql("e.label IN (1, 2)"))
+def r1_vector_filtered_all(spark: SparkSession, d: str) -> DataFrame:
+    e = _vectors(spark, d)
+    return R.best_matches(e.where("id % 100 = 0"), e.where("label in (1, 2)"), 10).select(F.col("query").alias("vec_id"), "id", F.round("score", 6).alias("score"))
+
+
 def _bm25_sql(source: str, id_col: str, text: str, terms: list[str]) -> str:
     tf = lambda t: f"len(list_filter(ws, lambda w: w = '{t}'))"
     df = lambda t: f"(SELECT count(*) FROM w WHERE list_contains(ws, '{t}'))"
@@ -767,6 +791,12 @@ def r24_session_discovery(spark: SparkSession, d: str) -> DataFrame:
     return scored.groupBy("label").agg(F.round(F.min(1 - F.col("s")), 6).alias("distance"))
 
 
+@query("r24_session_discovery_all", f"SELECT q.vec_id, e.label, round(min(1 - {_PAIRCOS}), 6) AS distance FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id GROUP BY 1, 2")
+def r24_session_discovery_all(spark: SparkSession, d: str) -> DataFrame:
+    e = _vectors(spark, d)
+    return R.best_matches(e.where("id % 100 = 0"), e, 1, "label").select(F.col("query").alias("vec_id"), "label", F.round(1 - F.col("score"), 6).alias("distance"))
+
+
 @query("a10_channel_confidence", f"WITH {_FUSE}, sc AS (SELECT 'text' AS channel, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM b UNION ALL SELECT 'overlap', score, row_number() OVER (ORDER BY score DESC, id) FROM o WHERE score > 0) SELECT channel, round(avg(score) / (1 + coalesce(stddev_samp(score), 0)), 5) AS confidence FROM sc WHERE rank <= 10 GROUP BY 1")
 def a10_channel_confidence(spark: SparkSession, d: str) -> DataFrame:
     return R.channel_confidence(_document_ranks(spark, d, 100), 10).select("channel", F.round("confidence", 5).alias("confidence"))
