@@ -16,8 +16,10 @@ from tidemark.llm.normal import characters, tokens
 RUN = {False: 3, True: 4}
 #: Runs in one fingerprint. Between two stretches that a copy keeps, RUN - 1 runs at least are broken (by a word
 #: put in or taken out; a changed one breaks RUN). A copy that keeps half of all runs therefore keeps RUN - 1
-#: successive ones somewhere, and its window there is one of the passage.
+#: successive ones somewhere, and its window there is one of the passage, unless the passage is short.
 WINDOW = {False: 2, True: 3}
+#: Runs under which half a passage may be kept in stretches shorter than a window; there each run is one.
+SHORT = {False: 5, True: 13}
 #: Bits in which fingerprints may differ; they are cut into one block more.
 RADIUS = 1
 #: Characters of passages that one pass may hold in a task; more passages are searched for in several passes.
@@ -96,7 +98,7 @@ class Passages:
             runs = run_hashes(hasher(characters(found) if chinese else found), RUN[chinese])
             if not len(runs):
                 continue
-            window = WINDOW[chinese] if len(runs) >= 2 * WINDOW[chinese] else 1
+            window = WINDOW[chinese] if len(runs) >= SHORT[chinese] else 1
             self.runs[item], self.chinese[item] = np.unique(runs), chinese
             prints.setdefault((chinese, window), []).append((np.unique(fingerprints(runs, window)), item))
         seen: dict[tuple[bool, int], int] = {}
