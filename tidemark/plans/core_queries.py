@@ -34,7 +34,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines_of_memories(memories: DataFrame) -> DataFrame:
-    """Current memories that belong to a line of two or more: id, line, start_us, end_us."""
+    """Current memories that belong to a line of two or more: id, component, closed (superseded by another), start_us, end_us."""
     current = current_memories(memories, "superseded_by", "valid_from", "valid_until", "created_at")
     key = lambda c: F.lower(F.trim(F.col(c)))
     current = written(current.withColumn("_key", key("id")).withColumn("_next", key("superseded_by")))
@@ -43,17 +43,21 @@ def lines_of_memories(memories: DataFrame) -> DataFrame:
     links = links.join(current.select(F.col("_key").alias("next")).distinct(), "next", "left_semi")
     component = functional_components(links)
     linked = current.join(component.select(F.col("id").alias("_key"), "component"), "_key")
-    times = linked.select("id", "component", "valid_from", "valid_until", "created_at")
+    times = linked.select("id", "component", F.col("superseded_by").isNotNull().alias("closed"), "valid_from", "valid_until", "created_at")
     for source, out in (("valid_from", "_from"), ("created_at", "_made"), ("valid_until", "_until")):
         times = with_instant(times, source, out, "UTC")
-    return times.select("id", "component", F.coalesce("_from", "_made").alias("start_us"), F.col("_until").alias("end_us"))
+    return times.select("id", "component", "closed", F.coalesce("_from", "_made").alias("start_us"), F.col("_until").alias("end_us"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every version of every line of superseded memories, with the seconds in which it was valid."""
+    """Every version of every line of superseded memories, with the seconds in which it was valid.
+
+    Two snapshots are merged: the facts that were closed by another one, and those still open.
+    """
     members = written(lines_of_memories(table(spark, sf_dir, "memories")))
     first = members.where("start_us is not null").groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("start_us", "id")).alias("f"))
     lines = first.where("n > 1").select("component", F.col("f.id").alias("line_id"))
-    history = build_history([members.join(lines, "component")], "line_id", "start_us", ["id"], "end_us")
+    members = written(members.join(lines, "component"))
+    history = build_history([members.where("closed"), members.where("not closed")], "line_id", "start_us", ["id"], "end_us")
     seconds = lambda c: F.floor(F.col(c) / 1_000_000).cast("bigint")
     return history.select("line_id", F.col("id").alias("memory_id"), seconds("from").alias("from_s"), F.coalesce(seconds("until"), F.lit(-1)).cast("bigint").alias("until_s"))
