@@ -42,20 +42,39 @@ def make(seed, n_sessions, length):
     return [tuple(r) for r in rows]
 
 
-@pytest.mark.parametrize("fragment", [1000, 5])
+@pytest.mark.parametrize("fragment", [64, 7, 2])
 def test_whole_sessions_match_brute_force(spark, fragment):
     rows = make(3, 40, 25)
-    got = {(r.session_id, r.turn_no, r.id) for r in conversations(spark.createDataFrame(rows, SCHEMA), fragment).collect()}
+    got = {(r.session_id, r.turn_no, r.id) for r in conversations(spark.createDataFrame(rows, SCHEMA), fragment, min(4, fragment - 1)).collect()}
     want = brute(rows)
     assert len({s for s, _, _ in want}) > 10 and got == want
 
 
 def test_a_hot_session_is_cut_up_and_put_together(spark):
-    rows = [("hot", f"m{k:05}", "u", "user" if k % 2 == 0 else "assistant", "x", k * k, None) for k in range(3000)]
-    got = sorted((r.turn_no, r.id) for r in conversations(spark.createDataFrame(rows, SCHEMA), 100).collect())
+    rows = [("hot", f"m{k:05}", "u", "user" if k % 2 == 0 else "assistant", "x", k * k if k else -(10**15), None) for k in range(3000)]  # the first one long before
+    got = sorted((r.turn_no, r.id) for r in conversations(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(k, f"m{k:05}") for k in range(3000)]
 
 
+def test_every_session_is_assembled_from_fragments(spark, monkeypatch):
+    from tidemark.llm import conversations as module
+
+    seen = []
+    monkeypatch.setattr(module, "assemble", lambda f: seen.append(f.select("conv").distinct().count()) or assemble(f))
+    rows = [(f"s{s}", f"s{s}-{k}", "u", ["user", "bot"][k % 2], "x", k, None) for s in range(20) for k in range(4)]
+    assert module.conversations(spark.createDataFrame(rows, SCHEMA)).count() == 80 and seen == [20]
+
+
+def test_silence_over_a_fragment_keeps_the_turns(spark):
+    rows = [("s", f"m{k:03}", "u", "tool", "x", k, None) for k in range(100)]
+    talk = [("s", "m000", "u", "user", "x", 0, None), ("s", "m050", "u", "assistant", "x", 50, None), ("s", "m070", "u", "user", "x", 70, None), ("s", "m099", "u", "assistant", "x", 99, None)]
+    at = {r[1] for r in talk}
+    whole = [r for r in rows if r[1] not in at] + talk
+    assert conversations(spark.createDataFrame(whole, SCHEMA), 8, 2).count() == 100
+    broken = [(*r[:3], "assistant", *r[4:]) if r[1] == "m070" else (*r[:3], "user", *r[4:]) if r[1] == "m050" else r for r in whole]
+    assert conversations(spark.createDataFrame(broken, SCHEMA), 8, 2).count() == 0
+
+
 def test_no_rows(spark):
     assert conversations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert conversations(spark.createDataFrame([(None, "a", "u", "user", "x", 1, None), (" ", "b", "u", "user", "x", 1, None)], SCHEMA)).count() == 0

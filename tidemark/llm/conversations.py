@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.instants import bound
 from tidemark.tables import cut, written
 
 #: The roles and their spellings.
@@ -14,8 +13,10 @@ ROLES = {"user": "u", "human": "u", "assistant": "a", "model": "a", "bot": "a",
 #: Characters that show nothing though Unicode does not class them as blank or format.
 INVISIBLE = "\\p{Z}\\p{Cc}\\p{Cf}\\u115f\\u1160\\u2800\\u3164\\uffa0\\ufe00-\\ufe0f\\u034f"
 
-#: Messages that one fragment of a long conversation holds on average.
-FRAGMENT = 1000
+#: Messages of one fragment, and how many of them the next one repeats.
+FRAGMENT, OVERLAP = 64, 4
+
+_ORDINAL = (1 << 33) - 1
 
 
 def role_code(role: Column) -> Column:
@@ -51,15 +52,18 @@ def overlaps(fragments: DataFrame) -> DataFrame:
 
 
 def assemble(fragments: DataFrame) -> DataFrame:
-    """Place fragments on the paths of their overlap graph: ``(conv, frag, offset, skip, whole)``.
+    """Place fragments on the paths of their overlap graph: ``(conv, frag, offset, skip, told, whole)``.
 
     Contained fragments are dropped. An edge is kept if it is the one longest overlap out of its left and into
     its right fragment; where two are equally long the path is ambiguous and both are left out. Paths are
     walked by pointer doubling, which sums the offsets. ``offset`` is the position of a fragment's first new
-    message in its conversation, ``skip`` the messages it repeats from the one before; ``whole`` is false
-    where a conversation falls into several paths, that is, has a gap. Fragments without hashes are ignored.
+    message in its conversation, ``skip`` the messages it repeats from the one before, and ``told`` the sum of the
+    ``weights`` (array<int>, optional, one a message) of all messages ahead of the fragment's first one; ``whole``
+    is false where a conversation falls into several paths, that is, has a gap. Fragments without hashes are ignored.
     """
     fragments = fragments.where(F.size("hashes") > 0)
+    if "weights" not in fragments.columns:
+        fragments = fragments.withColumn("weights", F.array_repeat(F.lit(0), F.size("hashes")))
     found = cut(overlaps(fragments))
     inner = found.where("contained").select("conv", F.col("b").alias("frag")).distinct()
     kept = fragments.select("conv", "frag", F.size("hashes").alias("n_frag")).join(inner, ["conv", "frag"], "left_anti")
@@ -74,78 +78,88 @@ def assemble(fragments: DataFrame) -> DataFrame:
 
     out, into = only_best(edges, "a", "b"), only_best(edges, "b", "a")
     sure = out.join(into, ["conv", "a", "b", "n"]).select("conv", "a", F.col("b").alias("frag"), F.col("n").alias("skip"))
-    sizes = kept.select("conv", F.col("frag").alias("a"), F.col("n_frag").alias("a_n"))
-    steps = sure.join(sizes, ["conv", "a"]).select("conv", "frag", F.col("a").alias("to"), (F.col("a_n") - F.col("skip")).alias("shift"), "skip")
-    state = cut(
-        kept.join(steps, ["conv", "frag"], "left").select("conv", "frag", F.coalesce("to", "frag").alias("to"), F.coalesce("shift", F.lit(0)).alias("shift"), F.coalesce("skip", F.lit(0)).alias("skip"))
-    )
-    moving = None
-    while True:
-        ahead = state.select("conv", F.col("frag").alias("to"), F.col("to").alias("_to"), F.col("shift").alias("_shift"))
+    sizes = fragments.select("conv", F.col("frag").alias("a"), F.size("hashes").alias("a_n"), "weights")
+    ahead_of = F.aggregate(F.slice("weights", F.lit(1), F.col("a_n") - F.col("skip")), F.lit(0).cast("bigint"), lambda x, w: x + w)
+    steps = sure.join(sizes, ["conv", "a"]).select("conv", "frag", F.col("a").alias("to"), (F.col("a_n") - F.col("skip")).alias("shift"), "skip", ahead_of.alias("told"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    state = cut(kept.join(steps, ["conv", "frag"], "left").select("conv", "frag", F.coalesce("to", "frag").alias("to"), zero("shift"), zero("skip"), zero("told")))
+    moving = state.where("to <> frag").count()
+    while moving:
+        ahead = state.select("conv", F.col("frag").alias("to"), F.col("to").alias("_to"), F.col("shift").alias("_shift"), F.col("told").alias("_told"))
         step = state.join(ahead, ["conv", "to"]).withColumn("_moved", F.col("to") != F.col("_to"))
-        state = cut(step.select("conv", "frag", F.col("_to").alias("to"), (F.col("shift") + F.col("_shift")).alias("shift"), "skip", "_moved"))
+        state = cut(step.select("conv", "frag", F.col("_to").alias("to"), (F.col("shift") + F.col("_shift")).alias("shift"), "skip", (F.col("told") + F.col("_told")).alias("told"), "_moved"))
         now = state.where("_moved").count()
         state = state.drop("_moved")
-        if not now or now == moving:  # what still moves runs in a ring
+        if now == moving:  # what still moves runs in a ring
             break
         moving = now
     paths = state.groupBy("conv").agg((F.count_distinct("to") == 1).alias("_one"), F.max((F.col("frag") == F.col("to")).cast("int")).alias("_headed"))
-    return state.join(paths, "conv").select("conv", "frag", (F.col("shift") + F.col("skip")).alias("offset"), "skip", (F.col("_one") & (F.col("_headed") == 1)).alias("whole"))
+    return state.join(paths, "conv").select("conv", "frag", (F.col("shift") + F.col("skip")).alias("offset"), "skip", "told", (F.col("_one") & (F.col("_headed") == 1)).alias("whole"))
+
 
+def fragments_of(messages: DataFrame, fragment: int, overlap: int) -> DataFrame:
+    """``(session_id, frag, ms)``: runs of a session's messages in order, each repeating the last of the one before.
 
-def conversations(messages: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
+    ``messages`` has ``session_id`` and ``m``, a struct that begins with what orders the messages of a session. They are
+    sorted in ranges over all sessions and numbered from end to end (each range counts its own rows, and adds
+    those of the ranges before it, one number a range); every ``fragment`` numbers make one fragment, or several
+    where sessions meet. No session, however long, comes together in one task. What the next fragment repeats
+    is marked by ``own`` false there. A fragment may hold repeated messages only.
+    """
+    order = messages.repartitionByRange("session_id", "m").sortWithinPartitions("session_id", "m")
+    order = written(order.withColumn("_at", F.monotonically_increasing_id()))  # once, for the numbers are those of one run
+    order = order.select("session_id", "m", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit(_ORDINAL)).alias("_at"))
+    ranges = order.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    ranges = F.broadcast(ranges.select("_range", before.alias("_before")))  # as many rows as partitions
+    numbered = order.join(ranges, "_range").withColumn("_at", F.col("_at") + F.col("_before"))
+    home = F.floor(F.col("_at") / fragment).cast("bigint")
+    repeated = F.col("_at") % fragment >= fragment - overlap
+    places = F.when(repeated, F.array(home, home + 1)).otherwise(F.array(home))
+    placed = numbered.select("session_id", "m", home.alias("_home"), F.explode(places).alias("frag"))
+    one = F.struct("m", (F.col("_home") == F.col("frag")).alias("own"))
+    return placed.groupBy("session_id", "frag").agg(F.sort_array(F.collect_list(one)).alias("ms"))
+
+
+def conversations(messages: DataFrame, fragment: int = FRAGMENT, overlap: int = OVERLAP) -> DataFrame:
     """The messages of every whole session in order: ``(session_id, turn_no, id, role)``.
 
     ``messages`` has ``session_id``, ``id``, ``user_id``, ``role``, ``content`` and ``at`` (bigint instant).
-    Rows with the same session and id are one message. A session is whole if all its messages have one user, a
-    readable role, an instant that no other has, and visible content, and if its user and assistant messages
-    alternate from user first to assistant last, with one of each at least. Rows without session or id are
-    ignored; an empty table gives an empty result; columns besides these are not read.
-
-    A session is cut into fragments by time, as many as its messages need, so that no task holds more than a
-    part of a long one; each fragment starts with the last message of the one before, and the overlap graph of
-    their message hashes puts them together again. Sessions of one fragment are such already.
+    Rows with the same session and id are one message; where they differ, the one with the greatest instant, user
+    and role counts. A session is whole if all its messages have one user, a readable role, an instant that no other
+    has, and visible content, and if its user and assistant messages alternate from user first to assistant
+    last, with one of each at least. Rows without session or id are ignored; an empty table gives an empty
+    result; columns besides these are not read.
+
+    Every session, short or long, comes as fragments of ``fragment`` messages at most, of which each repeats
+    the last ``overlap`` of the one before; the overlap graph of their message hashes puts them together again. Whether
+    speakers alternate is told within each fragment, from the number of turns on the path ahead of it.
     """
     code = role_code(F.col("role")).alias("role")
     rows = messages.where("session_id is not null and trim(session_id) <> '' and id is not null").select("session_id", "id", "user_id", "at", code, visible(F.col("content")).alias("seen"))
-    rows = rows.groupBy("session_id", "id").agg(F.max("user_id").alias("user_id"), F.max("at").alias("at"), F.max("role").alias("role"), F.min("seen").alias("seen"))
-    rows = written(rows)  # read twice below, and narrow by now
-    good = F.col("user_id").isNotNull() & F.col("at").isNotNull() & F.col("role").isNotNull() & F.col("seen")
-    stats = rows.groupBy("session_id").agg(
-        F.count("*").alias("n"), F.min(good).alias("good"), F.min("user_id").alias("u0"), F.max("user_id").alias("u1"), F.min("at").alias("t0"), F.max("at").alias("t1"),
-        F.sum((F.col("role") == "u").cast("int")).alias("n_u"), F.sum((F.col("role") == "a").cast("int")).alias("n_a"),
+    rows = rows.groupBy("session_id", "id").agg(F.max(F.struct("at", "user_id", "role", "seen")).alias("m"))
+    m = F.struct("m.at", "id", "m.role", "m.user_id", "m.seen", F.xxhash64("session_id", "id", "m.at", "m.role").alias("hash"))
+    fragments = fragments_of(written(rows.select("session_id", m.alias("m"))), fragment, overlap)  # written, as the ranges are fitted on it
+    said = F.array_join(F.transform(F.filter("ms", lambda x: x.m.role.isin("u", "a")), lambda x: x.m.role), "")
+    own = lambda test: F.size(F.filter("ms", lambda x: x.own & test(x.m)))
+    bad = lambda x: x.at.isNull() | x.user_id.isNull() | x.role.isNull() | ~x.seen
+    users = F.transform("ms", lambda x: x.m.user_id)
+    fragments = written(
+        fragments.select(
+            F.col("session_id").alias("conv"), "frag", F.transform("ms", lambda x: F.struct(x.m.id.alias("id"), x.m.role.alias("role"))).alias("ms"),
+            F.transform("ms", lambda x: x.m.hash).alias("hashes"), F.transform("ms", lambda x: x.m.role.isin("u", "a").cast("int")).alias("weights"),
+            said.alias("said"), own(lambda x: x.role == "u").alias("n_u"), own(lambda x: x.role == "a").alias("n_a"),
+            ((own(bad) == 0) & (F.size(F.array_distinct(F.transform("ms", lambda x: x.m.at))) == F.size("ms"))).alias("good"), F.array_min(users).alias("u0"), F.array_max(users).alias("u1"),
+        )
     )
-    fit = stats.where("good and u0 = u1 and n_u = n_a and n_u > 0").select("session_id", "n", "t0", "t1")
-    cells = F.ceil(F.col("n") / fragment)
-    frag = F.floor((F.col("at") - F.col("t0")) / ((F.col("t1") - F.col("t0") + 1) / cells)).cast("bigint")
-    placed = rows.join(fit, "session_id").select("session_id", frag.alias("frag"), F.struct("at", "id", "role", F.xxhash64("id", "at", "role").alias("hash")).alias("m"), (cells > 1).alias("cut_up"))
-    grouped = placed.groupBy("session_id", "frag", "cut_up").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    said = F.array_join(F.transform(F.filter("ms", lambda m: m.role.isin("u", "a")), lambda m: m.role), "")
-    grouped = bound(grouped, {"said": said, "distinct_at": F.size(F.array_distinct(F.transform("ms", lambda m: m.at))) == F.size("ms")})
-    grouped = grouped.withColumn("ok", F.col("distinct_at") & ~F.col("said").rlike("uu|aa"))
-    single = grouped.where("not cut_up and ok and said like 'u%' and said like '%a'")
-    turns = single.select("session_id", F.posexplode("ms").alias("turn_no", "m")).select("session_id", F.col("turn_no").cast("bigint").alias("turn_no"), F.col("m.id").alias("id"), F.col("m.role").alias("role"))
-    if fit.where(F.col("n") > fragment).isEmpty():
-        return turns
-    return turns.unionByName(_long(written(grouped.where("cut_up").select("session_id", "frag", "ms", "said", "ok"))))
-
-
-def _long(parts: DataFrame) -> DataFrame:
-    """The turns of sessions of several fragments."""
-    from pyspark.sql import Window
-
-    by_frag = Window.partitionBy("session_id").orderBy("frag")  # one narrow row a fragment
-    ends = parts.select("session_id", "frag", "said", "ok", F.element_at("ms", -1).alias("last"))
-    said = F.when(F.col("said") != "", F.struct("frag", F.substring("said", -1, 1).alias("c")))
-    ends = ends.withColumn("carried", F.lag("last").over(by_frag))
-    ends = ends.withColumn("spoke", F.max(said).over(by_frag.rowsBetween(Window.unboundedPreceding, -1))["c"])
-    start = F.when(F.col("said") == "", True).otherwise(F.substring("said", 1, 1) != F.coalesce("spoke", F.lit("a")))
-    ends = ends.withColumn("ok", F.col("ok") & start)
-    whole = ends.groupBy("session_id").agg(F.min("ok").alias("ok"), F.max(said)["c"].alias("final")).where("ok and final = 'a'").select("session_id")
-    kept = parts.join(ends.select("session_id", "frag", "carried"), ["session_id", "frag"]).join(whole, "session_id", "left_semi")
-    full = kept.withColumn("ms", F.when(F.col("carried").isNull(), F.col("ms")).otherwise(F.concat(F.array("carried"), F.col("ms"))))
-    full = written(full.select(F.col("session_id").alias("conv"), "frag", "ms"))
-    placed = assemble(full.select("conv", "frag", F.transform("ms", lambda m: m.hash).alias("hashes")))
-    joined = full.join(placed.where("whole"), ["conv", "frag"])
-    out = joined.select("conv", "offset", "skip", F.posexplode("ms").alias("at", "m")).where("at >= skip")
+    fit = fragments.groupBy("conv").agg(F.min("good").alias("good"), F.min("u0").alias("u0"), F.max("u1").alias("u1"), F.sum("n_u").alias("n_u"), F.sum("n_a").alias("n_a"))
+    fit = fit.where("good and u0 = u1 and n_u = n_a and n_u > 0").select("conv")
+    fragments = fragments.join(fit, "conv", "left_semi")
+    placed = assemble(fragments.select("conv", "frag", "hashes", "weights"))
+    next_role = F.when(F.col("told") % 2 == 0, "u").otherwise("a")
+    joined = fragments.select("conv", "frag", "ms", "said").join(placed, ["conv", "frag"])
+    turns = F.col("whole") & ~F.col("said").rlike("uu|aa") & ((F.col("said") == "") | (F.substring("said", 1, 1) == next_role))
+    joined = written(joined.select("conv", "ms", "offset", "skip", turns.alias("ok")))
+    whole = joined.groupBy("conv").agg(F.min("ok").alias("ok")).where("ok").select("conv")
+    out = joined.join(whole, "conv", "left_semi").select("conv", "offset", "skip", F.posexplode("ms").alias("at", "m")).where("at >= skip")
     return out.select(F.col("conv").alias("session_id"), (F.col("offset") + F.col("at") - F.col("skip")).cast("bigint").alias("turn_no"), F.col("m.id").alias("id"), F.col("m.role").alias("role"))
