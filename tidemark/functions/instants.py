@@ -131,7 +131,7 @@ def with_instant(df: DataFrame, value: str, out: str, zone: Column | str | None
     step = df.withColumn("_i_raw", F.regexp_replace(text, F.lit(PATTERN), F.lit(REPLACEMENT)))
     step = bound(step, {"_i_part": F.when(F.col("_i_raw").startswith(_MARK), F.split(F.substring(F.col("_i_raw"), 2, 400), r"\|", -1))})
     at = {k: F.col("_i_part")[n] for n, k in enumerate(_FIELDS)}
-    num = lambda k: F.expr(f"try_cast(_i_part[{list(_FIELDS).index(k)}] as bigint)")
+    num = lambda k: F.when(at[k] != "", at[k].cast("bigint"))  # noqa: E731  # digits or nothing; failed casts are slow
     first, second = num("first"), num("second")
     if isinstance(month_first, bool):
         month_first = F.lit(month_first)
