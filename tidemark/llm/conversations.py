@@ -22,10 +22,8 @@ _ORDINAL = (1 << 33) - 1
 def role_code(role: Column) -> Column:
     """One letter for a readable role, whatever its case and surrounding blanks; null for any other."""
     text = F.lower(F.regexp_replace(role, "^[\\s\\p{Z}\\p{Cf}]+|[\\s\\p{Z}\\p{Cf}]+$", ""))
-    code = F.lit(None).cast("string")
-    for spelling, letter in ROLES.items():
-        code = F.when(text == spelling, letter).otherwise(code)
-    return code
+    spellings = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
+    return F.try_element_at(spellings, text)
 
 
 def visible(content: Column) -> Column:
