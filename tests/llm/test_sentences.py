@@ -1,6 +1,8 @@
+import time
+
 import pytest
 
-from tidemark.llm.sentences import sentence_spans, sentences
+from tidemark.llm.sentences import ASKING, STERM, sentence_spans, sentences
 
 CASES = [
     ["The train leaves at 2 p.m.", "We walked on."],
@@ -85,3 +87,49 @@ def test_table(spark):
 def test_paragraphs_without_capitals(parts):
     text = "A heading\n\n" + " ".join(parts)
     assert [text[a:b] for a, b in sentence_spans(text)] == ["A heading", *parts]
+
+
+def test_every_terminator_of_the_standard_ends_a_sentence():
+    assert len(STERM) > 150 and {"။", "។", "።", "؟", "!", "?"} <= STERM and {"!", "?", "؟"} <= ASKING
+    for c in sorted(STERM):
+        text = f"Aaa bbb{c} Ccc ddd{c}"
+        assert [text[a:b] for a, b in sentence_spans(text)] == [f"Aaa bbb{c}", f"Ccc ddd{c}"], hex(ord(c))
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["Он живёт на ул. Ленина, д. 5.", "Это было в 2020 г. в Москве.", "Хлеб, молоко и т.д. лежали там."],
+        ["မြို့သို့သွားသည်။", "ပြန်လာသည်။"],
+        ["គាត់ទៅផ្សារ។", "គាត់ត្រឡប់មកវិញ។"],
+        ["ሰላም ነው።", "እንደምን ነህ?"],
+        ["Price is 3.50 and the size is 5. It fits.".split(". ")[0] + ".", "It fits."],
+    ],
+)
+def test_further_scripts(parts):
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentence_spans(text)] == parts
+
+
+def test_abbreviations_are_those_of_the_language():
+    german = "Der Hund und die Katze sind bei der Fa. Holt. Es ist warm."
+    assert [german[a:b] for a, b in sentence_spans(german)] == ["Der Hund und die Katze sind bei der Fa. Holt.", "Es ist warm."]
+    english = "The song of the choir was in the key of fa. The end of it was good."
+    assert [english[a:b] for a, b in sentence_spans(english)] == ["The song of the choir was in the key of fa.", "The end of it was good."]
+    short = "Siehe Abs. Zwei."
+    assert len(sentence_spans(short)) == 1
+
+
+def test_a_long_quotation_is_one_sentence_and_a_stray_mark_pairs_with_nothing():
+    inside = "We walk. " * 500
+    text = f"She said: “{inside}” and left. We stayed."
+    assert [b - a for a, b in sentence_spans(text)][1:] == [len("We stayed.")]
+    text = 'The board is 5" wide. It fits. The sign says "Closed!" in red.'
+    assert [text[a:b] for a, b in sentence_spans(text)] == ['The board is 5" wide.', "It fits.", 'The sign says "Closed!" in red.']
+
+
+@pytest.mark.parametrize("text", ["(" * 400_000, "“a. " * 100_000, '"' * 400_000, "„a“ " * 100_000, "usw. a " * 60_000])
+def test_time_grows_with_the_length(text):
+    began = time.perf_counter()
+    sentence_spans(text)
+    assert time.perf_counter() - began < 20
