@@ -85,3 +85,35 @@ def test_nearest_over_shards_matches_brute_force(spark, block):
     for q in range(0, 400, 20):
         assert [got[q][k] for k in (1, 2, 3)] == np.argsort(-sims[q], kind="stable")[:3].tolist()
     assert nearest(df.where("false"), df, 64).count() == 0
+
+
+def test_a_dense_shard_gives_k_pairs_a_row():
+    rng = np.random.default_rng(6)
+    rows = unit(rng.normal(size=64) + 0.01 * rng.normal(size=(3000, 64)))
+    i, j, s = close_pairs(rows, 0.93, 0.03, k=10)
+    assert len(i) <= 30_000
+    sims = rows @ rows.T
+    np.fill_diagonal(sims, -2)
+    want = {tuple(sorted((a, b))) for a in range(3000) for b in np.argsort(-sims[a], kind="stable")[:10].tolist()}
+    assert len(want & set(zip(i.tolist(), j.tolist(), strict=True))) >= 0.999 * len(want)  # equal up to rounding
+
+
+def test_the_first_of_equals_is_kept():
+    rows = unit(np.repeat(np.eye(64)[:2], 6, axis=0))
+    i, j, _ = close_pairs(rows, 0.93, 0.03, k=2)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {tuple(sorted((a, b))) for o in (0, 6) for a in range(o, o + 6) for b in [x for x in range(o, o + 6) if x != a][:2]}
+
+
+@pytest.mark.parametrize("factor, least", [(1.0, 1.0), (0.5, 0.9)])
+def test_routed_search_with_a_hot_leaf(spark, factor, least):
+    rows = clustered(1600, 7)
+    rows[::3] = rows[0]  # a third of all rows are alike and share a leaf
+    df = spark.createDataFrame([(f"v{k:05}", [float(x) for x in r], "x") for k, r in enumerate(rows)], "id string, vector array<float>, cell string")
+    got = {}
+    for r in nearest(df.where("substring(id, 6) = '7'"), df, 64, 5, factor=factor, shard_rows=100).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = r["similarity"]
+    sims = rows.astype(np.float64) @ rows.T.astype(np.float64)
+    np.fill_diagonal(sims, -2)
+    asked = [k for k in range(1600) if f"v{k:05}"[5:] == "7"]
+    good = sum(np.isclose(sorted(got[f"v{q:05}"].values(), reverse=True), np.sort(sims[q])[::-1][:5], atol=1e-4).sum() for q in asked)
+    assert len(got) == len(asked) and good >= least * 5 * len(asked)

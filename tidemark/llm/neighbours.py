@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.tables import written
 
-#: Rows that the routing tree is fitted on at most; every row is indexed whatever their number.
-SAMPLE = 20_000
+#: Rows that the routing tree is fitted on: SAMPLE, or SAMPLE_LEAF a leaf if that is more, so that the medians of deep
+#: levels are not those of a few rows; MOST at most. Every row is indexed whatever their number.
+SAMPLE, SAMPLE_LEAF, MOST = 20_000, 64, 500_000
 #: Vectors under which a node is compared in full.
 LEAF = 2048
 #: Candidates among which a node's vantage point is chosen, and vectors their spread is measured on.
 TRIES, SPREAD_ON = 24, 256
 #: Leaves of the routing tree, so that a shard holds SHARD vectors at most, and SHARDS shards at least.
 SHARDS, SHARD = 32, 100_000
+#: Vectors of one cell of the search for stated queries.
+NEAR_SHARD = 20_000
 
 
 def usable(column: Column, size: int) -> Column:
@@ -68,8 +70,9 @@ def routing_tree(sample: np.ndarray, depth: int, seed: int = 7) -> list[tuple[np
     return nodes
 
 
-def routed(rows: np.ndarray, nodes: list, depth: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) of every leaf a row is a member of: both sides within ``reach`` of a median."""
+def routed(rows: np.ndarray, nodes: list, depth: int, reach: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) of every leaf a row is a member of: both sides within ``reach`` of a median, one for all or for each row."""
+    reach = np.broadcast_to(np.asarray(reach, np.float32), len(rows))
     out_rows, out_leaves = [], []
     todo = [(0, 0, np.arange(len(rows)))]
     while todo:
@@ -82,15 +85,53 @@ def routed(rows: np.ndarray, nodes: list, depth: int, reach: float) -> tuple[np.
             continue
         point, mid = nodes[k]
         off = distances(rows[who], point) - mid
-        todo.append((2 * k + 1, level + 1, who[off <= reach]))
-        todo.append((2 * k + 2, level + 1, who[off > -reach]))
+        todo.append((2 * k + 1, level + 1, who[off <= reach[who]]))
+        todo.append((2 * k + 2, level + 1, who[off > -reach[who]]))
     if not out_rows:
         return np.empty(0, np.int64), np.empty(0, np.int32)
     return np.concatenate(out_rows), np.concatenate(out_leaves)
 
 
-def close_pairs(rows: np.ndarray, least: float, reach: float, leaf: int = LEAF, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All (i, j, similarity), i < j, of at least ``least`` that share a leaf of the shard's own tree."""
+def _best(left: np.ndarray, right: np.ndarray, skip: int, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, similarity) of the k best of ``right`` for every row of ``left``, of at least ``least``; the first of equals.
+
+    Row i of ``left`` is row skip + i of ``right`` and no partner of itself.
+    """
+    n = len(left)
+    held_s, held_j = np.empty((n, 0), np.float32), np.empty((n, 0), np.int64)
+    for b in range(0, len(right), 4096):
+        sims = left @ right[b : b + 4096].T
+        own = np.arange(n) + skip - b
+        inside = (own >= 0) & (own < sims.shape[1])
+        sims[np.flatnonzero(inside), own[inside]] = -2
+        hit = sims >= least
+        count = hit.sum(axis=1)
+        if not count.any() and not held_s.size:
+            continue
+        width = min(k, int(count.max()))
+        if width:
+            if count.max() > k:  # more than k: the k-th value, and of those equal to it the first
+                kth = np.partition(sims, -k, axis=1)[:, -k : sims.shape[1] - k + 1]
+                above, equal = sims > kth, sims == kth
+                hit &= above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+                count = hit.sum(axis=1)
+            i, j = np.nonzero(hit)
+            place = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            new_s, new_j = np.full((n, width), -2, np.float32), np.full((n, width), -1)
+            new_s[i, place], new_j[i, place] = sims[i, j], b + j
+            held_s, held_j = np.concatenate([held_s, new_s], axis=1), np.concatenate([held_j, new_j], axis=1)
+            if held_s.shape[1] > k:
+                order = np.argsort(-held_s, axis=1, kind="stable")[:, :k]
+                held_s, held_j = np.take_along_axis(held_s, order, 1), np.take_along_axis(held_j, order, 1)
+    i, at = np.nonzero(held_s >= least) if held_s.size else (np.empty(0, np.int64),) * 2
+    return i, held_j[i, at], held_s[i, at]
+
+
+def close_pairs(rows: np.ndarray, least: float, reach: float, leaf: int = LEAF, seed: int = 7, k: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (i, j, similarity), i < j, of at least ``least`` that share a leaf of the shard's own tree.
+
+    With ``k``, only those of which one is among the k best of the other in a leaf: k a row and leaf, however dense the shard.
+    """
     rng = np.random.default_rng(seed)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     todo = [np.arange(len(rows))]
@@ -105,14 +146,10 @@ def close_pairs(rows: np.ndarray, least: float, reach: float, leaf: int = LEAF,
             if len(near) ** 2 + len(far) ** 2 < 0.9 * len(who) ** 2:  # else splitting costs more than comparing
                 todo += [near, far]
                 continue
+        own = rows[who]
         for a in range(0, len(who), 1024):  # a node that does not split is compared in blocks
-            left = rows[who[a : a + 1024]]
-            for b in range(a, len(who), 4096):
-                sims = left @ rows[who[b : b + 4096]].T
-                i, j = np.nonzero(sims >= least)
-                keep = a + i < b + j
-                i, j = i[keep], j[keep]
-                found.append((who[a + i], who[b + j], sims[i, j]))
+            i, j, s = _best(own[a : a + 1024], own, a, least, k or len(who))
+            found.append((who[a + i], who[j], s))
     if not found:
         none = np.empty(0, np.int64)
         return none, none, np.empty(0, np.float32)
@@ -126,6 +163,16 @@ def _matrix(values: pd.Series, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float32).reshape(-1, size)
 
 
+def _fitted(rows: DataFrame, n: int, depth: int, size: int) -> tuple[list, int]:
+    """A routing tree over ``rows(unit)``, of no levels where there are too few of them."""
+    wanted = min(MOST, max(SAMPLE, SAMPLE_LEAF * 2**depth))
+    sample = rows.select("unit").sample(min(1.0, 0.9 * wanted / max(1, n)), seed=7) if n > wanted else rows.select("unit")
+    fitted = [bytes(r.unit) for r in sample.limit(wanted).toLocalIterator()]
+    if depth < 1 or len(fitted) < 2:
+        return [], 0
+    return routing_tree(np.frombuffer(b"".join(fitted), np.float32).reshape(-1, size), depth), depth
+
+
 def similar_pairs(vectors: DataFrame, size: int, least: float, k: int = 10, factor: float = 0.15, shards: int | None = None) -> DataFrame:
     """``(id_a, id_b, similarity)``, id_a < id_b: pairs of cosine similarity ``least`` or more of which one is among the ``k`` most similar of the other.
 
@@ -137,7 +184,7 @@ def similar_pairs(vectors: DataFrame, size: int, least: float, k: int = 10, fact
 
     Vectors with the same values up to length are one class: one row of it is indexed, its first k + 1 members
     (by id) stand for it, and every further member gets the first k of its class as neighbours, so that a class
-    that holds a large part of all rows costs no more than its rows. Equally similar vectors rank by id. Null,
+    that holds a large part of all rows costs no more than its rows. A shard gives k pairs a row at most. Equally similar vectors rank by id. Null,
     zero, too short or long and non-finite vectors are left out, as are null ids. Empty inputs give no rows.
     """
     spark = vectors.sparkSession
@@ -161,12 +208,7 @@ def similar_pairs(vectors: DataFrame, size: int, least: float, k: int = 10, fact
     heads = written(heads.select("id", "class", "unit", "n"))
     n = heads.count()
     depth = int(np.ceil(np.log2(shards or max(SHARDS, 3 * n / SHARD))))
-    sample = heads.select("unit").sample(min(1.0, 0.9 * SAMPLE / max(1, n)), seed=7) if n > SAMPLE else heads.select("unit")
-    fitted = [bytes(r.unit) for r in sample.limit(SAMPLE).toLocalIterator()]
-    if len(fitted) < 2:
-        nodes, depth = [], 0
-    else:
-        nodes = routing_tree(np.frombuffer(b"".join(fitted), np.float32).reshape(-1, size), depth)
+    nodes, depth = _fitted(heads, n, depth, size)
     sent = spark.sparkContext.broadcast(nodes)  # 2 ** depth - 1 points, whatever the number of rows in a shard
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,11 +220,11 @@ def similar_pairs(vectors: DataFrame, size: int, least: float, k: int = 10, fact
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         ids, rows = pdf["id"].to_numpy(), _matrix(pdf["unit"], size)
-        i, j, s = close_pairs(rows, least - 1e-6, reach)
+        i, j, s = close_pairs(rows, least - 1e-6, reach, k=k)
         return pd.DataFrame({"a": ids[i], "b": ids[j], "s": s.astype(np.float64)})
 
     sharded = heads.select("id", "unit").mapInPandas(route, "shard int, id string, unit binary")
-    met = sharded.groupBy("shard").applyInPandas(compare, "a string, b string, s double")
+    met = sharded.repartition(2**depth, "shard").groupBy("shard").applyInPandas(compare, "a string, b string, s double")
     met = met.groupBy("a", "b").agg(F.max("s").alias("s"))
     met = written(met)
     # From classes back to members: those that can be among the k best of another are the first k + 1 of each.
@@ -217,9 +259,14 @@ class Tree:
             return (who,)
         return (point, mid, self._node(who[inner]), self._node(who[~inner]))
 
-    def nearest(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and distances of the k nearest, padded with -1; the bound of a query prunes by ``factor`` of itself."""
+    def nearest(self, queries: np.ndarray, k: int, factor: float, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and distances of the k nearest, padded with -1; the bound of a query prunes by ``factor`` of itself.
+
+        ``bound`` is a distance for every query beyond which nothing is looked for.
+        """
         best = np.full((len(queries), k), np.inf, np.float32)
+        if bound is not None:
+            best[:] = bound[:, None]
         at = np.full((len(queries), k), -1, np.int64)
 
         def visit(node: tuple, who: np.ndarray) -> None:
@@ -245,46 +292,89 @@ class Tree:
         return at, best
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, size: int, k: int = 10, factor: float = 0.5, block: int = 20_000, shard_rows: int = SHARD) -> DataFrame:
+def _answers(members: DataFrame, asked: DataFrame, kind: str, size: int, k: int, factor: float, block: int) -> DataFrame:
+    """``(query, neighbour, d)``: the k nearest of every query among the members of its cell.
+
+    ``members`` has ``cell``, ``id`` and ``unit``, ``asked`` also ``bound``. Rows are sorted by cell with the members ahead of
+    the queries: a task holds the members of one cell, which are bounded, and lets the queries stream by.
+    """
+    flow = members.select("cell", F.lit(0).alias("asks"), "id", "unit", F.lit(0.0).alias("bound")).unionByName(asked.select("cell", F.lit(1).alias("asks"), "id", "unit", "bound"))
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, held, tree, ids = None, [], None, None
+        for pdf in batches:
+            cells = pdf["cell"].to_numpy()
+            edges = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(pdf)]
+            for part in (pdf.iloc[a:z] for a, z in zip(edges[:-1], edges[1:], strict=True) if z > a):
+                if part["cell"].iloc[0] != cell:
+                    cell, held, tree = part["cell"].iloc[0], [], None
+                own = part["asks"].to_numpy() == 0
+                if own.any():
+                    held.append(part[own])
+                queries = part[~own]
+                if not len(queries) or not held:
+                    continue
+                if tree is None:
+                    whole = pd.concat(held).sort_values("id", kind="stable")
+                    ids, tree = whole["id"].to_numpy(), Tree(_matrix(whole["unit"], size))
+                for a in range(0, len(queries), block):
+                    some = queries.iloc[a : a + block]
+                    at, d = tree.nearest(_matrix(some["unit"], size), k, factor, some["bound"].to_numpy(np.float32))
+                    q, c = np.nonzero(at >= 0)
+                    yield pd.DataFrame({"query": some["id"].to_numpy()[q], "neighbour": ids[at[q, c]], "d": d[q, c].astype(np.float64)})
+
+    return flow.repartition("cell").sortWithinPartitions("cell", "asks").mapInPandas(answer, f"query {kind}, neighbour {kind}, d double")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, size: int, k: int = 10, factor: float = 0.5, block: int = 20_000, shard_rows: int = NEAR_SHARD) -> DataFrame:
     """``(query, neighbour, similarity, rank)``: the ``k`` most similar of ``vectors`` for every query.
 
-    Both frames have ``id`` and ``vector``; a vector is no neighbour of the query with its own id. Vectors are
-    spread evenly over shards of about ``shard_rows``; the queries, a stated set, go to all shards in blocks of
-    ``block``, one pass a block. Each shard answers from its own tree, and the best k of all shards are kept.
-    ``factor`` one is exact; smaller ones prune more. Equally similar vectors rank by id. Unusable vectors and
-    null ids are left out; empty inputs give no rows.
+    Both frames have ``id`` and ``vector``; a vector is no neighbour of the query with its own id. Vectors lie in the
+    leaves of a routing tree, a leaf of more than ``shard_rows`` (equal vectors cannot be told apart) in several
+    cells. A query is first answered in its own leaf; then it visits the leaves that its ball of the k-th
+    distance so far reaches, the radius times ``factor``, and there the same rule prunes the tree of the cell. ``factor``
+    one is exact; smaller ones visit and compare less. Queries are never collected; they stream by the members of a
+    cell, ``block`` at a time at most. Equally similar vectors rank by id. Unusable vectors and null ids are left out; empty inputs give no rows.
     """
     spark = vectors.sparkSession
-
-    def keep(df: DataFrame) -> DataFrame:
-        return df.where(F.col("id").isNotNull() & usable(F.col("vector"), size)).select("id", "vector")
-
-    rows = keep(vectors)
-    kind = rows.schema["id"].dataType.simpleString()
-    asked = written(keep(queries).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(1 << 30))))
-    count = asked.count()
-    blocks = max(1, -(-count // block))
-    shards = max(1, -(-rows.count() // shard_rows))
-    def answering(sent: Broadcast) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids, asked_rows = sent.value
-            pdf = pdf.sort_values("id", kind="stable")
-            own = pdf["id"].to_numpy()
-            at, d = Tree(unit(np.stack(pdf["vector"].to_numpy()))).nearest(asked_rows, k + 1, factor)
-            q, c = np.nonzero(at >= 0)
-            return pd.DataFrame({"query": np.array(ids, dtype=own.dtype)[q], "neighbour": own[at[q, c]], "d": d[q, c].astype(np.float64)})
-
-        return answer
-
-    out = None
-    for b in range(blocks):
-        part = [(r.id, r.vector) for r in asked.where(F.col("part") % blocks == b).toLocalIterator()]
-        if not part:
-            continue
-        sent = spark.sparkContext.broadcast(([p[0] for p in part], unit(np.array([p[1] for p in part], np.float64))))
-        found = rows.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("_shard").applyInPandas(answering(sent), f"query {kind}, neighbour {kind}, d double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return rows.select(F.col("id").alias("query"), F.col("id").alias("neighbour"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).where("false")
-    ranked = out.where("query <> neighbour").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "neighbour"))).where(F.col("rank") <= k)
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def units(df: DataFrame) -> DataFrame:
+        def scale(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    yield pd.DataFrame({"id": pdf["id"], "unit": [r.tobytes() for r in unit(np.stack(pdf["vector"].to_numpy()))]})
+
+        return df.where(F.col("id").isNotNull() & usable(F.col("vector"), size)).select("id", "vector").mapInPandas(scale, f"id {kind}, unit binary")
+
+    rows, asked = written(units(vectors)), written(units(queries))
+    n = rows.count()
+    nodes, depth = _fitted(rows, n, max(0, int(np.ceil(np.log2(max(1, n) / shard_rows)))), size)
+    sent = spark.sparkContext.broadcast(nodes)  # as many points as leaves, shard_rows vectors each
+
+    def to_leaves(df: DataFrame) -> DataFrame:
+        """Each row with its leaf, and with the leaves that its ``reach`` touches."""
+
+        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    row, leaf = routed(_matrix(pdf["unit"], size), sent.value, depth, pdf["reach"].to_numpy(np.float32))
+                    yield pdf.iloc[row].assign(leaf=leaf).drop(columns="reach")
+
+        return df.mapInPandas(route, f"id {kind}, unit binary, bound double, home int, leaf int")
+
+    at_home = lambda df: to_leaves(df.select("id", "unit", F.lit(9.0).alias("bound"), F.lit(-1).alias("home"), F.lit(0.0).alias("reach")))
+    members, asked = written(at_home(rows)), written(at_home(asked))
+    cells = members.groupBy("leaf").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("cells"))  # one row a leaf
+    cells = F.broadcast(cells)
+    name = lambda salt: F.concat_ws("-", "leaf", salt).alias("cell")
+    members = members.join(cells, "leaf").select(name(F.pmod(F.xxhash64("id"), F.col("cells"))), "id", "unit")
+    visits = lambda df: df.join(cells, "leaf").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(name("salt"), "id", "unit", "bound")
+    first = written(_answers(members, visits(asked), kind, size, k + 1, factor, block).where("query <> neighbour"))
+    bounds = first.groupBy("query").agg(F.sort_array(F.collect_list("d")).alias("ds"))  # k + 1 a cell of its leaf at most
+    bounds = bounds.select(F.col("query").alias("id"), F.when(F.size("ds") >= k, F.get("ds", F.lit(k - 1))).alias("own_bound"))
+    told = asked.join(bounds, "id", "left").withColumn("bound", F.coalesce("own_bound", F.lit(9.0)))
+    away = to_leaves(told.select("id", "unit", "bound", F.col("leaf").alias("home"), (F.col("bound") * factor + 1e-5).alias("reach"))).where("leaf <> home")
+    found = first.unionByName(_answers(members, visits(away.withColumn("bound", F.col("bound") + 1e-5)), kind, size, k + 1, factor, block)).where("query <> neighbour")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "neighbour"))).where(F.col("rank") <= k)
     return ranked.select("query", "neighbour", (1 - F.col("d") * F.col("d") / 2).alias("similarity"), "rank")

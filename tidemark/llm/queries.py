@@ -54,6 +54,14 @@ def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query").alias("vec_id"), "neighbour", F.round("similarity", 4).alias("similarity"))
 
 
+def p4_nearest_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar of all current memories for every memory whose number 100 divides."""
+    current = current_memories(table(spark, sf_dir, "memories"), "embedding").withColumnRenamed("embedding", "vector")
+    number = F.conv("id", 16, 10).cast("decimal(20,0)")  # ids are hexadecimal
+    found = nearest(current.where(number % 100 == 0), current, 64, 10)
+    return found.select(F.col("query").alias("id"), "neighbour", "rank", F.round("similarity", 4).alias("similarity"))
+
+
 def _budgets(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
     """The stated capacities; a handful of rows."""
     return sorted((r.budget_id, r.capacity_tokens) for r in table(spark, sf_dir, "context_budgets").collect())
@@ -80,7 +88,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_masked": p3_masked, "p4_found": p4_found, "p4_nearest": p4_nearest, "p6_bins": p6_bins, "p6_usage": p6_usage, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_masked": p3_masked, "p4_found": p4_found, "p4_nearest": p4_nearest, "p4_nearest_memories": p4_nearest_memories, "p6_bins": p6_bins, "p6_usage": p6_usage, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
