@@ -92,3 +92,20 @@ def test_fingerprint_is_the_majority():
     a, b, c = runs[:-2], runs[1:-1], runs[2:]
     assert (fingerprints(runs, 3) == ((a & b) | (b & c) | (a & c))).all()
     assert len(run_hashes(np.arange(2, dtype=np.uint64), 3)) == 0
+
+
+def test_rarity_is_counted_over_all_items_whatever_the_passes(spark):
+    docs, items = corpus(7)
+    shared = " ".join(f"shared{k}" for k in range(12))
+    items = [(k, f"{p} {shared}" if k < 100 and k % 2 else p) for k, p in items]
+    d, i = spark.createDataFrame(docs + [(990, shared)], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")
+    whole = {(r.item_id, r.doc_id): round(r.held, 9) for r in leaks(d, i, 0.3, rarity=True).collect()}
+    assert len(whole) > 20 and {(r.item_id, r.doc_id): round(r.held, 9) for r in leaks(d, i, 0.3, rarity=True, passage_chars=700).collect()} == whole
+    even = {(r.item_id, r.doc_id): round(r.held, 9) for r in leaks(d, i, 0.3).collect()}
+    assert even != whole and not any(doc == 990 for _, doc in whole)
+
+
+def test_an_item_may_have_several_passages(spark):
+    i = spark.createDataFrame([(1, "one two three four five six seven"), (1, "red green blue cyan pink black white")], "item_id bigint, passage string")
+    d = spark.createDataFrame([(1, "x one two three four five six seven"), (2, "red green blue cyan pink black white y"), (3, "none of them")], "doc_id bigint, text string")
+    assert sorted((r.item_id, r.doc_id, r.held) for r in leaks(d, i).collect()) == [(1, 1, 1.0), (1, 2, 1.0)]

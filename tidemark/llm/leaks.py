@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.normal import characters, tokens
+from tidemark.tables import written
 
 #: Runs of successive tokens that are compared: words, and single characters of Chinese texts.
 RUN = {False: 3, True: 4}
@@ -49,7 +50,10 @@ def run_hashes(found: np.ndarray, n: int) -> np.ndarray:
 
 
 def fingerprints(runs: np.ndarray, window: int) -> np.ndarray:
-    """SimHash of every ``window`` successive runs: each bit is that of the majority."""
+    """SimHash of every ``window`` successive runs: each bit is that of the majority, and set where it ties.
+
+    Of two runs that is the bitwise OR of their hashes; of three a true majority.
+    """
     if window == 1 or len(runs) < window:
         return runs if window == 1 else np.empty(0, np.uint64)
     out = []
@@ -82,30 +86,38 @@ class _Hasher:
         return np.array([known[w] for w in found], np.uint64)
 
 
+def passage_runs(text: str | None, hasher: _Hasher) -> tuple[bool, np.ndarray]:
+    """Whether a passage is mostly Chinese, and the hashes of its runs in order."""
+    found = tokens(text or "")
+    chinese = sum(1 for w in found if len(w) == 1 and "㐀" <= w) * 2 > len(found)
+    return chinese, run_hashes(hasher(characters(found) if chinese else found), RUN[chinese])
+
+
 class Passages:
-    """The passages of one pass, with the block index of their fingerprints."""
+    """The passages of one pass, with the block index of their fingerprints; several may be of one item.
+
+    ``items`` are (item, text) or (item, text, counts): how many items have each of the passage's distinct runs, by the
+    run's hash as a signed number; without them all runs weigh the same.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, rarity: bool = False):
+    def __init__(self, items: list[tuple], radius: int = RADIUS):
         hasher = _Hasher()
         self.radius = radius
-        self.runs: dict[int, np.ndarray] = {}
-        self.chinese: dict[int, bool] = {}
+        self.items: list[int] = []
+        self.runs: list[np.ndarray] = []
+        self.weights: list[np.ndarray] = []
         prints: dict[tuple[bool, int], list[tuple[np.ndarray, int]]] = {}
-        for item, text in items:
-            found = tokens(text or "")
-            han = sum(1 for w in found if len(w) == 1 and "㐀" <= w)
-            chinese = han * 2 > len(found)
-            runs = run_hashes(hasher(characters(found) if chinese else found), RUN[chinese])
+        for item, text, *more in items:
+            counts = more[0] if more else None
+            chinese, runs = passage_runs(text, hasher)
             if not len(runs):
                 continue
             window = WINDOW[chinese] if len(runs) >= SHORT[chinese] else 1
-            self.runs[item], self.chinese[item] = np.unique(runs), chinese
-            prints.setdefault((chinese, window), []).append((np.unique(fingerprints(runs, window)), item))
-        seen: dict[tuple[bool, int], int] = {}
-        for item, runs in self.runs.items():
-            for r in runs.tolist():
-                seen[self.chinese[item], r] = seen.get((self.chinese[item], r), 0) + 1
-        self.weights = {i: np.array([1 / seen[self.chinese[i], r] if rarity else 1.0 for r in runs.tolist()]) for i, runs in self.runs.items()}
+            distinct = np.unique(runs)
+            prints.setdefault((chinese, window), []).append((np.unique(fingerprints(runs, window)), len(self.items)))
+            self.items.append(item)
+            self.runs.append(distinct)
+            self.weights.append(np.ones(len(distinct)) if counts is None else 1 / np.array([counts[r] for r in distinct.view(np.int64).tolist()]))
         self.index = {key: self._blocks(rows) for key, rows in prints.items()}
 
     def _blocks(self, rows: list[tuple[np.ndarray, int]]) -> tuple:
@@ -130,7 +142,7 @@ class Passages:
             return ((keys * _MIX) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
     def near(self, prints: np.ndarray, key: tuple[bool, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Places and items of all fingerprints within the radius of one of an item."""
+        """Places and passages of all fingerprints within the radius of one of a passage."""
         values, owners, blocks = self.index[key]
         places, items = [], []
         for b, (table, keys, order) in enumerate(blocks):
@@ -146,10 +158,10 @@ class Passages:
             items.append(owners[entry[close]])
         return np.concatenate(places), np.concatenate(items)
 
-    def held(self, item: int, runs: np.ndarray) -> float:
-        """The weighted share of an item's distinct runs that are among ``runs``."""
-        weights = self.weights[item]
-        return float(weights[np.isin(self.runs[item], runs)].sum() / weights.sum())
+    def held(self, passage: int, runs: np.ndarray) -> float:
+        """The weighted share of a passage's distinct runs that are among ``runs``."""
+        weights = self.weights[passage]
+        return float(weights[np.isin(self.runs[passage], runs)].sum() / weights.sum())
 
     def search(self, texts: list[str], share: float, hasher: _Hasher) -> list[tuple[int, int, float]]:
         """(place of the text, item, share held) for all texts that hold at least ``share`` of an item."""
@@ -169,22 +181,37 @@ class Passages:
             pairs: set[tuple[int, int]] = set()
             for w in windows:
                 prints = fingerprints(joined, w)
-                at, item = self.near(prints, (chinese, w))
+                at, passage = self.near(prints, (chinese, w))
                 inside = text_of[at] == text_of[at + w - 1]
-                pairs |= set(zip(text_of[at[inside]].tolist(), item[inside].tolist(), strict=True))
-            for k, item in pairs:
-                got = self.held(item, runs[k])
+                pairs |= set(zip(text_of[at[inside]].tolist(), passage[inside].tolist(), strict=True))
+            for k, passage in pairs:
+                got = self.held(passage, runs[k])
                 if got >= share:
-                    out.append((who[k], item, got))
+                    out.append((who[k], self.items[passage], got))
         return out
 
 
+def run_counts(items: DataFrame) -> DataFrame:
+    """``(item_id, passage, counts)``: for the distinct runs of every passage, how many of all items have each (map<bigint, bigint>)."""
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = _Hasher()
+        for pdf in batches:
+            for item, text in zip(pdf["item_id"], pdf["passage"], strict=True):
+                chinese, found = passage_runs(text, hasher)
+                yield pd.DataFrame({"item_id": item, "passage": text, "chinese": chinese, "run": np.unique(found).view(np.int64)})
+
+    each = written(items.mapInPandas(runs, "item_id bigint, passage string, chinese boolean, run bigint"))
+    known = each.groupBy("chinese", "run").agg(F.count_distinct("item_id").alias("n"))
+    return each.join(known, ["chinese", "run"]).groupBy("item_id", "passage").agg(F.map_from_entries(F.collect_list(F.struct("run", "n"))).alias("counts"))
+
+
 def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, radius: int = RADIUS, rarity: bool = False, passage_chars: int = PASSAGE_CHARS) -> DataFrame:
     """``(item_id, doc_id, held)``: every document that holds ``share`` or more of an item's passage, and how much.
 
     ``documents`` has ``doc_id`` and ``text``, ``items`` has ``item_id`` (bigint) and ``passage``. What is held
     is counted in distinct runs of three words (four characters where most of a passage is Chinese), each
-    weighing the same, or with ``rarity`` less the more items have it. Documents are read once and nothing but
+    weighing the same, or with ``rarity`` less the more of all items have it. Documents are read once and nothing but
     the found pairs is shuffled. The items are the stated query set: they go to the tasks in blocks of at most
     ``passage_chars`` characters, one pass over the documents a block. Fingerprints only select what the exact
     count is made for. Null and blank texts, and passages of fewer words than a run, give no rows; repeated rows
@@ -193,16 +220,18 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, radius: in
     slim = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("passage")).where("item_id is not null and passage is not null").distinct()
     total = slim.agg(F.sum(F.length("passage"))).first()[0] or 0
     blocks = max(1, -(-total // passage_chars))
+    if rarity:
+        slim = written(run_counts(slim))
     texts = documents.select("doc_id", "text").where("text is not null")
     kind = texts.schema["doc_id"].dataType.simpleString()
     spark = documents.sparkSession
 
     def one_pass(b: int) -> DataFrame:
         part = slim if blocks == 1 else slim.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        sent = spark.sparkContext.broadcast([(r.item_id, r.passage) for r in part.toLocalIterator()])
+        sent = spark.sparkContext.broadcast([(r.item_id, r.passage, r.counts if rarity else None) for r in part.toLocalIterator()])
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            passages, hasher = Passages(sent.value, radius, rarity), _Hasher()
+            passages, hasher = Passages(sent.value, radius), _Hasher()
             for pdf in batches:
                 ids, all_texts, a = pdf["doc_id"].to_numpy(), pdf["text"].tolist(), 0
                 while a < len(all_texts):

@@ -22,22 +22,34 @@ GROUP = 50_000
 
 
 @lru_cache(maxsize=2)
-def encoding(folder: str, vocabulary: str):
-    """The tokenizer of a file of base64 tokens and ranks."""
+def _encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(os.path.join(folder, vocabulary), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _vocabulary(folder: str, vocabulary: str) -> bytes:
+    with open(os.path.join(folder, vocabulary), "rb") as f:
+        return f.read()
+
+
+def encoding(folder: str, vocabulary: str):
+    """The tokenizer of a file of base64 tokens and ranks."""
+    return _encoding(_vocabulary(folder, vocabulary))
+
+
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, n_tokens)`` of every document; null texts have none and are left out, empty ones count 0."""
+    """``(doc_id, n_tokens)`` of every document; null texts have none and are left out, empty ones count 0.
+
+    The vocabulary is read by the driver and sent along, so that executors need not have the file.
+    """
     slim = documents.select("doc_id", "text").where("text is not null")
     kind = slim.schema["doc_id"].dataType.simpleString()
+    sent = documents.sparkSession.sparkContext.broadcast(_vocabulary(folder, vocabulary))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoding(folder, vocabulary)
+        own = _encoding(sent.value)
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": pd.Series([len(own.encode_ordinary(t)) for t in pdf["text"]], dtype="int64")})
 

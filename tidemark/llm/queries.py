@@ -15,7 +15,7 @@ from tidemark.llm.packing import pack, token_counts, usage
 from tidemark.llm.pii import find_pii, mask_pii
 from tidemark.llm.sentences import sentences
 from tidemark.plans.core_queries import with_owner_clock
-from tidemark.tables import current_memories, table
+from tidemark.tables import current_memories, table, written
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,8 @@ def _budgets(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
 
 def p6_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, or piece of one, in its container of each capacity."""
-    return pack(token_counts(table(spark, sf_dir, "documents")), _budgets(spark, sf_dir))
+    sizes = written(token_counts(table(spark, sf_dir, "documents")))  # read twice by the packing
+    return pack(sizes, _budgets(spark, sf_dir))
 
 
 def p6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
