@@ -58,6 +58,26 @@ CASES = [
     ("2024-06-31", "UTC", False, None),
     ("2025-04-09T25:61:00Z", "UTC", False, None),
     ("0000-00-00 00:00:00", "UTC", False, None),
+    ("3. März 2024 14:05", "Europe/Berlin", False, us(2024, 3, 3, 14, 5, zone="Europe/Berlin")),
+    ("3. MÄRZ 2024 um 14:05 Uhr", "Europe/Berlin", False, us(2024, 3, 3, 14, 5, zone="Europe/Berlin")),
+    ("dimanche 1er février 2026 à 08:30", "Europe/Paris", False, us(2026, 2, 1, 8, 30, zone="Europe/Paris")),
+    ("3 de mayo de 2024 10:00", "Europe/Madrid", False, us(2024, 5, 3, 10, zone="Europe/Madrid")),
+    ("12 juil. 2024", "UTC", False, us(2024, 7, 12)),
+    ("12 juin 2024", "UTC", False, us(2024, 6, 12)),
+    ("2024-03-05 3pm", "UTC", False, us(2024, 3, 5, 15)),
+    ("2024-03-05 12 a.m.", "UTC", False, us(2024, 3, 5)),
+    ("2024-03-05 3", "UTC", False, None),
+    ("Tue Mar  5 14:05:06 2024", "UTC", False, us(2024, 3, 5, 14, 5, 6)),
+    ("Tue Mar 5 14:05:06 UTC 2024", None, False, us(2024, 3, 5, 14, 5, 6)),
+    ("2024-03-05 14:05:06 Europe/Berlin", "UTC", False, us(2024, 3, 5, 14, 5, 6, zone="Europe/Berlin")),
+    ("2024-03-31 02:30:00 Europe/Berlin", "UTC", False, None),
+    ("2024-W10-2", "UTC", False, us(2024, 3, 5)),
+    ("2020-W53-7T10:00Z", None, False, us(2021, 1, 3, 10)),
+    ("2021-W53-1", "UTC", False, None),
+    ("2021-W00-1", "UTC", False, None),
+    ("2024年3月5日 14時05分06秒", "Asia/Tokyo", False, us(2024, 3, 5, 14, 5, 6, zone="Asia/Tokyo")),
+    ("3. Foobar 2024 14:05", "UTC", False, None),
+    ("31 février 2024", "UTC", False, None),
     ("2022-05-05 13:00:00 PM", "UTC", False, None),
     ("2024-10-27 02:28:11", "Europe/Zurich", False, None),  # twice
     ("2024-03-31 02:28:11", "Europe/Zurich", False, None),  # never

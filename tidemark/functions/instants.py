@@ -14,7 +14,22 @@ from pyspark.sql import functions as F
 MICROS = 1_000_000
 DAY = 86_400
 
-MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+#: Names of the months and their short forms in English, German, French and Spanish, without full stop.
+MONTH_NAMES = [
+    "january jan januar jänner janvier janv enero ene",
+    "february feb februar februar février févr fév febrero",
+    "march mar märz mär mars marzo",
+    "april apr avril avr abril abr",
+    "may mai mayo",
+    "june jun juni juin junio",
+    "july jul juli juillet juil julio",
+    "august aug août agosto ago",
+    "september sep sept septembre septiembre set",
+    "october oct oktober okt octobre octubre",
+    "november nov novembre noviembre",
+    "december dec dezember dez décembre déc diciembre dic",
+]
+MONTHS = {name: k + 1 for k, names in enumerate(MONTH_NAMES) for name in names.split()}
 
 #: Zone abbreviations that name one offset, in minutes.
 ABBREVIATIONS = {
@@ -26,55 +41,62 @@ ABBREVIATIONS = {
 }
 
 _BLANK = r"[\s\u00a0\u3000\u200b\ufeff]"
-_MONTH = r"jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+_MONTH = "|".join(sorted(MONTHS, key=lambda m: (-len(m), m)))
+_CLOCK = r"(?<h{0}>\d{{1,2}}):(?<i{0}>\d{{2}}):(?<s{0}>\d{{2}})"
 
 #: The date branches. Groups: y year, m month number, n month name, d day, p and q the two leading numbers
-#: of a date whose order depends on the locale; the branch number keeps the names apart.
+#: of a date whose order depends on the locale, w and k week and weekday; the branch number keeps the names apart.
 _DATES = [
     r"(?<y1>\d{4})(?<x1>[-/.])(?<m1>\d{1,2})\k<x1>(?<d1>\d{1,2})",
     r"(?<y2>\d{4})年(?<m2>\d{1,2})月(?<d2>\d{1,2})日",
-    r"(?:[a-z]{3,9}\.?,? )?(?<d3>\d{1,2})\.? (?<n3>" + _MONTH + r")\.?,? (?<y3>\d{4})",
-    r"(?:[a-z]{3,9}\.?, )?(?<n4>" + _MONTH + r")\.? (?<d4>\d{1,2})(?:st|nd|rd|th)?,? (?<y4>\d{4})",
+    r"(?:[\p{L}]{2,10}\.?,? )?(?<d3>\d{1,2})(?:\.|er)? (?:de )?(?<n3>" + _MONTH + r")\.?,? (?:del? )?(?<y3>\d{4})",
+    r"(?:[\p{L}]{2,10}\.?,? )?(?<n4>" + _MONTH + r")\.? (?<d4>\d{1,2})(?:st|nd|rd|th)?,? (?<y4>\d{4})",
     r"(?<p5>\d{1,2})(?<x5>[-/.])(?<q5>\d{1,2})\k<x5>(?<y5>\d{4})",
+    r"(?<y6>\d{4})-?w(?<w6>\d{2})-?(?<k6>[1-7])",
 ]
 
 _TIME = (
-    r"(?:(?:t|,|" + _BLANK + r")" + _BLANK + r"*|(?<=日))(?<pre>上午|下午|午前|午後|오전|오후)?" + _BLANK + r"*"
-    r"(?<h>\d{1,2}):(?<i>\d{2})(?::(?<s>\d{2})(?:[.,](?<f>\d{1,12}))?)?(?:" + _BLANK + r"*(?<ap>[ap])\.?m\.?)?(?:" + _BLANK + r"*uhr)?"
+    r"(?:(?:t|,|" + _BLANK + r")" + _BLANK + r"*|(?<=日))(?:(?:at|um|à|a las|klockan) )?(?<pre>上午|下午|午前|午後|오전|오후)?" + _BLANK + r"*"
+    r"(?:(?<h>\d{1,2})[:時时点點](?<i>\d{2})(?:[:分](?<s>\d{2})(?:[.,](?<f>\d{1,12}))?)?[分秒]?(?:" + _BLANK + r"*(?<ap>[ap])\.?m\.?)?(?:" + _BLANK + r"*uhr)?"
+    r"|(?<ha>\d{1,2})" + _BLANK + r"*(?<aq>[ap])\.?m\.?)"
 )
 _ZONE = (
-    _BLANK + r"*(?:(?:utc|gmt|z)?(?<os>[+\-\u2212])(?<oh>\d{1,2})(?::?(?<om>\d{2}))?|(?<ab>[a-z]{1,5}))?"
-    r"(?:\[(?<zn>[a-z0-9_+\-/]+)\])?"
+    r"(?:" + _BLANK + r"+(?<zr>[a-z_]+/[a-z0-9_+\-/]+)|"
+    + _BLANK + r"*(?:(?:utc|gmt|z)?(?<os>[+\-\u2212])(?<oh>\d{1,2})(?::?(?<om>\d{2}))?|(?<ab>[a-z]{1,5}))?"
+    r"(?:\[(?<zn>[a-z0-9_+\-/]+)\])?)"
 )
 PATTERN = (
-    r"(?i)\A" + _BLANK + r"*(?:"
+    r"(?iu)\A" + _BLANK + r"*(?:"
     r"(?<ep>\d{9,16})(?:\.(?<ef>\d{1,12}))?"
     r"|(?<cy>\d{4})(?<cm>\d{2})(?<cd>\d{2})(?:t(?<ch>\d{2})(?<ci>\d{2})(?:(?<cs>\d{2})(?:[.,](?<cf>\d{1,12}))?)?(?:(?<cz>z)|(?<cos>[+\-])(?<coh>\d{2}):?(?<com>\d{2})?)?)?"
     r"|(?<yy>\d{4})(?:-(?<ym>\d{2}))?"
     r"|(?:" + "|".join(_DATES) + r")(?:" + _TIME + _ZONE + r")?"
+    r"|[a-z]{3} (?<n7>" + _MONTH + r") +(?<d7>\d{1,2}) " + _CLOCK.format(7) + r"(?: (?<ab7>[a-z]{1,5}))? (?<y7>\d{4})"
     r")" + _BLANK + r"*\z"
 )
 
 
 #: Order of the components after the rewrite.
 _FIELDS = {
-    "year": ["y1", "y2", "y3", "y4", "y5", "cy", "yy"],
+    "year": ["y1", "y2", "y3", "y4", "y5", "y6", "y7", "cy", "yy"],
     "month": ["m1", "m2", "cm", "ym"],
-    "name": ["n3", "n4"],
-    "day": ["d1", "d2", "d3", "d4", "cd"],
+    "name": ["n3", "n4", "n7"],
+    "day": ["d1", "d2", "d3", "d4", "d7", "cd"],
     "first": ["p5"],
     "second": ["q5"],
-    "hour": ["h", "ch"],
-    "minute": ["i", "ci"],
-    "sec": ["s", "cs"],
+    "hour": ["h", "ha", "h7", "ch"],
+    "minute": ["i", "i7", "ci"],
+    "sec": ["s", "s7", "cs"],
     "frac": ["f", "cf", "ef"],
-    "half": ["pre", "ap"],
+    "half": ["pre", "ap", "aq"],
     "sign": ["os", "cos"],
     "oh": ["oh", "coh"],
     "om": ["om", "com"],
-    "abbr": ["ab", "cz"],
-    "zone": ["zn"],
+    "abbr": ["ab", "ab7", "cz"],
+    "zone": ["zn", "zr"],
     "epoch": ["ep"],
+    "week": ["w6"],
+    "weekday": ["k6"],
 }
 _MARK = "\u0001"
 REPLACEMENT = _MARK + "|".join("".join(f"${{{g}}}" for g in groups) for groups in _FIELDS.values())
@@ -136,7 +158,7 @@ def with_instant(df: DataFrame, value: str, out: str, zone: Column | str | None
     if isinstance(month_first, bool):
         month_first = F.lit(month_first)
     lead = F.coalesce(month_first, F.lit(False))
-    by_name = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(at["name"], 1, 3)))
+    by_name = F.try_element_at(F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv]), F.lower(at["name"])).cast("bigint")
     dated = F.coalesce(num("month"), F.when(at["name"] != "", by_name), F.when(lead, first).otherwise(second), F.lit(1))
     day = F.coalesce(num("day"), F.when(lead, second).otherwise(first), F.lit(1))
     half = F.when(F.lower(at["half"]).isin("p", "下午", "午後", "오후"), "p").when(at["half"] != "", "a").otherwise("")
@@ -146,7 +168,7 @@ def with_instant(df: DataFrame, value: str, out: str, zone: Column | str | None
     step = bound(step, {
         "_i_y": num("year"), "_i_m": dated, "_i_d": day, "_i_h": F.coalesce(num("hour"), F.lit(0)), "_i_n": F.coalesce(num("minute"), F.lit(0)),
         "_i_s": F.coalesce(num("sec"), F.lit(0)), "_i_f": F.when(at["frac"] != "", micros("frac")).otherwise(0), "_i_half": half, "_i_ep": num("epoch"),
-        "_i_oh": num("oh"), "_i_om": F.coalesce(num("om"), F.lit(0)),
+        "_i_w": num("week"), "_i_k": num("weekday"), "_i_oh": num("oh"), "_i_om": F.coalesce(num("om"), F.lit(0)),
     })
     c = F.col
     hour = F.when(c("_i_half") == "", c("_i_h")).when(c("_i_half") == "p", c("_i_h") % 12 + 12).otherwise(c("_i_h") % 12)
@@ -155,7 +177,12 @@ def with_instant(df: DataFrame, value: str, out: str, zone: Column | str | None
         c("_i_y").between(1, 9999) & c("_i_m").between(1, 12) & (c("_i_d") >= 1) & (c("_i_d") <= days_in_month(c("_i_y"), c("_i_m")))
         & c("_i_h").between(0, 23) & c("_i_n").between(0, 59) & c("_i_s").between(0, 59) & noon_ok
     )
-    step = bound(step, {"_i_days": F.when(valid, days_from_civil(c("_i_y"), c("_i_m"), c("_i_d")))})
+    # Week 1 holds January 4; a year whose week 53 begins in the next year has none.
+    fourth, next_fourth = (days_from_civil(c("_i_y") + k, F.lit(1), F.lit(4)) for k in (0, 1))
+    monday = lambda day: day - F.pmod(day + 3, F.lit(7))
+    by_week = monday(fourth) + (c("_i_w") - 1) * 7
+    by_week = F.when((c("_i_w") >= 1) & (by_week < monday(next_fourth)), by_week + c("_i_k") - 1)
+    step = bound(step, {"_i_days": F.when(valid, F.when(c("_i_w").isNotNull(), by_week).otherwise(days_from_civil(c("_i_y"), c("_i_m"), c("_i_d"))))})
     seconds = c("_i_days") * DAY + hour * 3600 + c("_i_n") * 60 + c("_i_s")
     offset = F.when(
         at["sign"] != "",
