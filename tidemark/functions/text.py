@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
 import pandas as pd
@@ -82,7 +84,7 @@ def date_prefix(text: Column) -> Column:
 def numbers(text: Column) -> Column:
     """Positive numbers in digits, with commas and decimals, as doubles."""
     raw = F.regexp_extract_all(text, F.lit("[0-9][0-9.,]*"), F.lit(0))
-    values = F.transform(raw, lambda x: F.try_to_number(F.rtrim(F.replace(x, F.lit(","), F.lit("")), F.lit(".")), F.lit("999999999999.999999")).cast("double"))
+    values = F.transform(raw, lambda x: F.rtrim(F.replace(x, F.lit(","), F.lit("")), F.lit(".")).try_cast("double"))
     return F.filter(values, lambda x: x > 0)
 
 
@@ -101,14 +103,39 @@ def partial_date(text: Column) -> Column:
     return F.when(text.rlike("^[0-9]{4}$"), F.concat(text, F.lit("-01-01"))).when(text.rlike("^[0-9]{4}-[0-9]{2}$"), F.concat(text, F.lit("-01"))).otherwise(text)
 
 
-def repaired_json(text: Column) -> Column:
-    """JSON out of a model's answer: thoughts and code fences go, Python literals and trailing commas are mended."""
-    out = F.regexp_replace(text, "(?s)<think>.*?</think>", "")
-    out = F.regexp_replace(out, "(?s)^.*?```(?:json)?\\s*(.*?)```.*$", "$1")
-    for old, new in (("\\bTrue\\b", "true"), ("\\bFalse\\b", "false"), ("\\bNone\\b", "null"), (",\\s*([}\\]])", "$1")):
-        out = F.regexp_replace(out, old, new)
-    single = ~out.contains('"') & out.contains("'")
-    return F.trim(F.when(single, F.replace(out, F.lit("'"), F.lit('"'))).otherwise(out))
+_LITERALS = {"True": "true", "False": "false", "None": "null"}
+_JSON_PIECE = re.compile(r"""(?P<double>"(?:[^"\\]|\\.)*")|(?P<single>'(?:[^'\\]|\\.|'(?!\s*(?:[,:}\]]|$)))*'(?=\s*(?:[,:}\]]|$)))|(?P<word>[A-Za-z_]+)|(?P<comma>,(?=\s*[}\]]))|(?P<other>.)""", re.S)
+
+
+def _mended(answer: str) -> str:
+    """One pass over strings, words and marks; what is inside a string stays as it is."""
+    thought = answer.rfind("</think>")
+    body = answer[thought + 8 :] if thought >= 0 else answer
+    fence = body.find("```")
+    if fence >= 0:
+        start = body.find("\n", fence) + 1 if body[fence + 3 :].lstrip(" ").startswith(("json", "\n")) and "\n" in body[fence:] else fence + 3
+        end = body.find("```", start)
+        body = body[start : end if end >= 0 else None]
+    out = []
+    for m in _JSON_PIECE.finditer(body):
+        piece = m[0]
+        if m["single"]:
+            piece = json.dumps(re.sub(r"\\(.)", r"\1", piece[1:-1]), ensure_ascii=False)
+        elif m["word"]:
+            piece = _LITERALS.get(piece, piece)
+        elif m["comma"]:
+            continue
+        out.append(piece)
+    return "".join(out).strip()
+
+
+@F.pandas_udf(T.StringType())
+def repaired_json(texts: pd.Series) -> pd.Series:
+    """JSON out of a model's answer: thoughts and code fences go, Python literals, quotes and trailing commas are mended.
+
+    Strings are left as they are, whatever they hold; null stays null. What is no JSON after this is for the caller.
+    """
+    return texts.map(_mended, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())

@@ -50,13 +50,17 @@ def lexical_embedding(dims: int = 256):
         import xxhash
 
         def one(t: str) -> list[float]:
-            v = np.zeros(dims)
             low = t.lower()
-            for w in low.split():
-                v[xxhash.xxh64_intdigest("w" + w) % dims] += 2.0
-            for n, weight in ((1, 0.25), (2, 0.75), (3, 1.0)):
-                for k in range(len(low) - n + 1):
-                    v[xxhash.xxh64_intdigest(f"{n}{low[k : k + n]}") % dims] += weight
+            v = np.bincount([xxhash.xxh64_intdigest(w) % dims for w in low.split()], minlength=dims) * 2.0
+            points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            grams = np.zeros(len(points), np.uint64)
+            for n, weight in ((1, 0.25), (2, 0.75), (3, 1.0)):  # each n-gram's hash from that of the one shorter
+                if len(points) < n:
+                    break
+                with np.errstate(over="ignore"):
+                    grams = (grams[: len(points) - n + 1] + points[n - 1 :] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+                    grams ^= grams >> np.uint64(29)
+                v += weight * np.bincount((grams % np.uint64(dims)).astype(np.int64), minlength=dims)
             norm = np.linalg.norm(v)
             return (v / norm if norm else v).astype(np.float32).tolist()
 

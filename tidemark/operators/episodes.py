@@ -39,10 +39,13 @@ def compacted(events: DataFrame, processed: DataFrame | None = None, first: int
     return joined.select("session_id", "user_id", "title", F.substring("summary", 1, 2000).alias("summary"), "n", "tokens", "start_at", "end_at", (F.col("tokens") < SMALL).alias("small"))
 
 
-def session_context(events: DataFrame, session_id: str, budget: int, max_events: int = 1000) -> DataFrame:
-    """``(id, role, content, at)``: the newest messages of a session within a token budget, oldest first."""
-    own = events.where(F.col("session_id") == session_id).dropDuplicates(["id"]).orderBy(F.desc("at"), F.desc("id")).limit(max_events)
-    run = Window.partitionBy(F.lit(0)).orderBy(F.desc("at"), F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # max_events rows
+def session_context(events: DataFrame, session_id: str, budget: int) -> DataFrame:
+    """``(id, role, content, at)``: the newest messages of a session within a token budget, oldest first.
+
+    A message is estimated at ten tokens at least, so no more than a tenth of the budget are looked at.
+    """
+    own = events.where(F.col("session_id") == session_id).dropDuplicates(["id"]).orderBy(F.desc("at"), F.desc("id")).limit(budget // 10 + 1)
+    run = Window.partitionBy(F.lit(0)).orderBy(F.desc("at"), F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # budget / 10 rows
     kept = own.withColumn("_s", F.sum(token_estimate(F.coalesce("content", F.lit("")))).over(run)).where(F.col("_s") <= budget)
     return kept.select("id", "role", "content", "at").orderBy("at", "id")
 
@@ -56,10 +59,14 @@ def chunks(df: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
     return cut.select("*", F.posexplode(starts).alias("chunk_no", "_at")).withColumn("chunk", F.array_join(F.slice("_ss", F.col("_at") + 1, size), " ")).drop("_ss", "_at")
 
 
+def most_queried(links: DataFrame, queried: DataFrame) -> DataFrame:
+    """``(id, queried)``: the largest ``queried_count(session_id, queried_count)`` of the sessions in ``links(id, session_id)``, 0 without one."""
+    return links.join(queried, "session_id", "left").groupBy("id").agg(F.coalesce(F.max("queried_count"), F.lit(0)).alias("queried"))
+
+
 def priorities(episodes: DataFrame, queried: DataFrame) -> DataFrame:
     """Episodes with ``queried``: the largest query count of their sessions, 0 without one; most wanted first."""
-    each = episodes.select("id", F.explode("session_ids").alias("session_id")).join(queried, "session_id", "left")
-    most = each.groupBy("id").agg(F.coalesce(F.max("queried_count"), F.lit(0)).alias("queried"))
+    most = most_queried(episodes.select("id", F.explode("session_ids").alias("session_id")), queried)
     return episodes.join(most, "id", "left").withColumn("queried", F.coalesce("queried", F.lit(0))).orderBy(F.desc("queried"), F.desc_nulls_last("significance"), "id")
 
 

@@ -41,15 +41,22 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int, undirected: bo
 def linked_memories(memories: DataFrame, names: DataFrame) -> DataFrame:
     """``(id, name)``: memories whose text holds a listed name of their user, as whole words whatever the case.
 
-    Names of one user meet texts of that user only, so the join is an equality on the user; a user with many
-    rows is split by the engine's skew handling.
+    Names meet the texts of their user that hold their first word, so the join is an equality on user and word, and
+    the rows of one user fall on as many keys as they have words; what met is checked for the whole name.
+    Names without a letter or digit are none. Repeated rows count once; nulls give no rows.
     """
-    low = names.where("name is not null").select("user_id", "name").distinct()
+    low = names.where("name is not null").select("user_id", "name", F.get(_words(F.lower("name")), F.lit(0)).alias("_word")).where("_word is not null").distinct()
     bound = F.concat(F.lit("(?i)(?<![\\p{L}\\p{N}])\\Q"), F.col("name"), F.lit("\\E(?![\\p{L}\\p{N}])"))
-    joined = memories.select("id", "user_id", "content").join(low, "user_id").where(F.lower("content").contains(F.lower("name")))
+    words = memories.where("content is not null").select("id", "user_id", "content", F.explode(F.array_distinct(_words(F.lower("content")))).alias("_word"))
+    joined = words.join(low, ["user_id", "_word"]).where(F.lower("content").contains(F.lower("name")))
     return joined.where(F.rlike("content", bound)).select("id", "name").distinct()
 
 
+def _words(text: Column) -> Column:
+    """The runs of letters and digits of a text."""
+    return F.regexp_extract_all(text, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+
+
 def cooccurrence(links: DataFrame, cap: int | None = None) -> DataFrame:
     """``(a, b, n)``: how many rows hold both names; with ``cap``, from the first names of each row in sort order only."""
     every = F.sort_array(F.collect_set("name"))
@@ -60,10 +67,14 @@ def cooccurrence(links: DataFrame, cap: int | None = None) -> DataFrame:
 
 
 def shared_entities(links: DataFrame, least: int = 1) -> DataFrame:
-    """``(a, b, shared)``, a < b: memories that share at least ``least`` names, by way of the names' rows."""
-    left = links.select(F.col("id").alias("a"), "name")
-    right = links.select(F.col("id").alias("b"), "name")
-    return left.join(right, "name").where("a < b").groupBy("a", "b").agg(F.count_distinct("name").alias("shared")).where(F.col("shared") >= least)
+    """``(a, b, shared)``, a < b: memories that share at least ``least`` names, by way of the names' rows.
+
+    Links are made distinct first, so that pairs are counted while they are joined, without another shuffle of names.
+    Every pair of a name is a result, so a name of n memories gives n (n - 1) / 2 pairs; leave out names of no meaning.
+    """
+    once = links.select("id", "name").distinct()
+    left, right = once.select(F.col("id").alias("a"), "name"), once.select(F.col("id").alias("b"), "name")
+    return left.join(right, "name").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def entity_search(entities: DataFrame, text: str, scope: Column | None = None) -> DataFrame:

@@ -152,7 +152,8 @@ def session_cap(df: DataFrame, n: int, session: str = "session_id") -> DataFrame
     if n <= 0:
         return df
     order = Window.partitionBy(session).orderBy(F.desc("score"), "id")
-    return df.withColumn("_r", F.row_number().over(order)).where(F.col(session).isNull() | (F.col("_r") <= n)).drop("_r")
+    of_sessions = df.where(F.col(session).isNotNull()).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
+    return of_sessions.unionByName(df.where(F.col(session).isNull()))  # which meet in no window
 
 
 def channel_confidence(ranks: DataFrame, k: int) -> DataFrame:

@@ -709,9 +709,8 @@ def w7_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query("j11_episode_priority", "WITH q AS (SELECT session_id, count(DISTINCT id) AS queried_count FROM memories WHERE session_id IS NOT NULL GROUP BY 1), e AS (SELECT DISTINCT user_id AS id, session_id FROM scenarios WHERE session_id IS NOT NULL) SELECT id, coalesce(max(queried_count), 0) AS queried FROM e LEFT JOIN q USING (session_id) GROUP BY 1")
 def j11_episode_priority(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "memories").where("session_id is not null").groupBy("session_id").agg(F.count_distinct("id").alias("queried_count"))
-    # a session's user is one of a few; sessions of one user are gathered by id only
-    s = table(spark, d, "scenarios").where("session_id is not null").groupBy(F.col("user_id").alias("id")).agg(F.collect_set("session_id").alias("session_ids"), F.count("*").alias("significance"))
-    return E.priorities(s, q).select("id", "queried")
+    links = table(spark, d, "scenarios").where("session_id is not null").select(F.col("user_id").alias("id"), "session_id").distinct()
+    return E.most_queried(links, q)
 
 
 @query("m3_near_duplicates", f"WITH {_CUR}, v AS (SELECT user_id, id, CAST(embedding AS DOUBLE[]) AS e FROM cur WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0) SELECT a.user_id, a.id AS a, b.id AS b, round(1 - list_cosine_similarity(a.e, b.e), 6) AS distance FROM v a JOIN v b ON a.user_id = b.user_id AND a.id < b.id WHERE 1 - list_cosine_similarity(a.e, b.e) < 0.15")
@@ -741,7 +740,7 @@ def m15_erase_user(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n") for t, df in out.items()])
 
 
-@query("c12_numbers", r"SELECT DISTINCT id, len(n) AS n, round(list_sum(n), 2) AS total FROM (SELECT id, list_filter(list_transform(regexp_extract_all(content, '[0-9][0-9.,]*'), lambda x: TRY_CAST(rtrim(replace(x, ',', ''), '.') AS DOUBLE)), lambda x: x > 0 AND x < 1e12) AS n FROM memories WHERE content IS NOT NULL) WHERE len(n) > 0")
+@query("c12_numbers", r"SELECT DISTINCT id, len(n) AS n, round(list_sum(n), 2) AS total FROM (SELECT id, list_filter(list_transform(regexp_extract_all(content, '[0-9][0-9.,]*'), lambda x: TRY_CAST(rtrim(replace(x, ',', ''), '.') AS DOUBLE)), lambda x: x > 0) AS n FROM memories WHERE content IS NOT NULL) WHERE len(n) > 0")
 def c12_numbers(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "memories").where("content is not null").select("id", X.numbers(F.col("content")).alias("v")).where("size(v) > 0")
     return m.select("id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 2).alias("total")).distinct()

@@ -7,14 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-MANIFEST = "manifest.json"
+MANIFEST = "manifest"
 
 
 class Store:
-    """Tables under one root; a version is a set of table directories named by a manifest that is swapped last.
+    """Tables under one root; a version is a set of table directories named by a manifest that is written last.
 
-    A reader holds the version it opened, a writer that fails leaves the old one in force. Backups are manifests
-    of their own and keep their directories.
+    Manifests are numbered and never changed: the one of the highest number is in force, and a new one appears by one
+    rename, so a reader always finds a whole one. A writer that fails leaves the old one in force; of two writers at
+    once the second is refused. Backups are manifests of their own and keep their directories.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -23,19 +24,26 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
+    def _last(self, name: str) -> int:
+        """The highest number of a manifest; 0 without one."""
+        found = self._fs.globStatus(self._path(f"{self.root}/{name}-*.json")) or []
+        return max((int(f.getPath().getName()[len(name) + 1 : -5]) for f in found), default=0)
+
     def _read(self, name: str) -> dict[str, str]:
-        path = self._path(f"{self.root}/{name}")
-        if not self._fs.exists(path):
+        last = self._last(name)
+        if not last:
             return {}
-        rows = self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect()
+        rows = self.spark.read.text(f"{self.root}/{name}-{last:012d}.json", wholetext=True).collect()
         return json.loads(rows[0].value)
 
     def _write(self, name: str, tables: dict[str, str]) -> None:
-        stream = self._fs.create(self._path(f"{self.root}/{name}.new"), True)
+        to = self._path(f"{self.root}/{name}-{self._last(name) + 1:012d}.json")
+        made = self._path(f"{self.root}/{name}-{uuid.uuid4().hex}.new")
+        stream = self._fs.create(made, True)
         stream.write(bytearray(json.dumps(tables, sort_keys=True).encode()))
         stream.close()
-        self._fs.delete(self._path(f"{self.root}/{name}"), False)
-        self._fs.rename(self._path(f"{self.root}/{name}.new"), self._path(f"{self.root}/{name}"))
+        if self._fs.exists(to) or not self._fs.rename(made, to):
+            raise RuntimeError("another writer was first")
 
     def tables(self) -> list[str]:
         return sorted(self._read(MANIFEST))
@@ -53,10 +61,10 @@ class Store:
         self._write(MANIFEST, now)
 
     def backup(self, label: str) -> None:
-        self._write(f"backup-{label}.json", self._read(MANIFEST))
+        self._write(f"backup-{label}", self._read(MANIFEST))
 
     def restore(self, label: str) -> None:
-        kept = self._read(f"backup-{label}.json")
+        kept = self._read(f"backup-{label}")
         if not kept:
             raise ValueError(f"no backup {label}")
         self._write(MANIFEST, kept)
