@@ -201,3 +201,14 @@ def contradiction_score(old: Column, new: Column, is_newer: Column) -> Column:
     changed = F.exists(numbers(old), lambda x: F.exists(numbers(new), lambda y: (x != y) & (F.greatest(x, y) / F.least(x, y) < 10)))
     term = lambda cond, w: F.when(cond, w).otherwise(0.0)
     return term(neg, 0.30) + term(opposed, 0.20) + term(contains_any(new, PREFERENCES), 0.20) + term(changed, 0.15) + term(is_newer, 0.15)
+
+
+def parsed_list(text: Column) -> Column:
+    """A list of texts from JSON, or from words between commas; blank ones are left out, null stays null."""
+    plain = F.transform(F.split(text, ","), F.trim)
+    return _filled(F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>")).otherwise(plain))
+
+
+def formatted_list(values: Column) -> Column:
+    """A list of texts as JSON; null stays null."""
+    return F.to_json(values)

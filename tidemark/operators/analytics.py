@@ -32,3 +32,12 @@ def recall_at(hits: DataFrame, truth: DataFrame, query: str, item: str, k: int)
     """``(recall)``: the share of true (query, item) rows among the first ``k`` hits of their query."""
     best = hits.where(F.col("rank") <= k).select(query, item, F.lit(1.0).alias("hit")).distinct()
     return truth.select(query, item).distinct().join(best, [query, item], "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
+
+
+def user_totals(users: DataFrame, memories: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
+    """``users(user_id)`` with the counts of their memories and other rows, first and last creation, and distinct agents; 0 without any."""
+    own = memories.groupBy("user_id").agg(F.count("*").alias("memories"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"), F.count_distinct("agent_id").alias("agents"))
+    out, zero = users.join(own, "user_id", "left"), ["memories", "agents", *others]
+    for name, rows in others.items():
+        out = out.join(rows.groupBy("user_id").agg(F.count("*").alias(name)), "user_id", "left")
+    return out.select("user_id", "first_at", "last_at", *[F.coalesce(c, F.lit(0)).alias(c) for c in zero])

@@ -39,6 +39,13 @@ def compacted(events: DataFrame, processed: DataFrame | None = None, first: int
     return joined.select("session_id", "user_id", "title", F.substring("summary", 1, 2000).alias("summary"), "n", "tokens", "start_at", "end_at", (F.col("tokens") < SMALL).alias("small"))
 
 
+def first_texts(rows: DataFrame, keys: list[str], order: list[Column], text: str, n: int, joint: str) -> DataFrame:
+    """``(*keys, text)``: the first ``n`` texts of every key in an order, joined; no more than those are gathered."""
+    first = rows.where(F.col(text).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", text))), lambda m: m[text]), joint)
+    return first.groupBy(*keys).agg(joined.alias("text"))
+
+
 def session_context(events: DataFrame, session_id: str, budget: int) -> DataFrame:
     """``(id, role, content, at)``: the newest messages of a session within a token budget, oldest first.
 
@@ -52,7 +59,7 @@ def session_context(events: DataFrame, session_id: str, budget: int) -> DataFram
 
 def chunks(df: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
     """``df`` with ``chunk_no`` and ``chunk``: overlapping runs of ``size`` sentences by simple terminators."""
-    sentences = F.filter(F.split(F.col(text), "(?<=[.!?。！？])\\s*"), lambda s: F.trim(s) != "")
+    sentences = F.filter(F.split(F.col(text), "(?<=[.!?。！？])\\s*"), lambda s: s.rlike("[^\\s\\p{Z}]"))
     step = max(1, size - overlap)
     starts = F.sequence(F.lit(0), F.greatest(F.size("_ss") - 1 - overlap, F.lit(0)), F.lit(step))
     cut = df.where(F.col(text).isNotNull()).withColumn("_ss", sentences).where(F.size("_ss") > 0)

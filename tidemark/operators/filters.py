@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import partial_date
@@ -93,3 +93,60 @@ def day_ranges(time: Column, ranges: list[tuple[str, str]]) -> Column:
     """Whether a time lies on one of the days of closed date ranges."""
     days = [(F.to_date(time) >= F.lit(a).cast("date")) & (F.to_date(time) <= F.lit(b).cast("date")) for a, b in ranges]
     return reduce(lambda x, y: x | y, days) if days else F.lit(False)
+
+
+#: Columns of a result that are always there.
+ALWAYS = ("id", "user_id", "resolution")
+
+
+def masked_fields(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """``df`` with all columns, but values only in the ``wanted`` ones and those of ALWAYS; "memory" names the content.
+
+    Texts that every result has (content, created_at, updated_at) become empty, all others null.
+    """
+    keep = {*ALWAYS, *wanted, *(["content"] if "memory" in wanted else [])}
+    blank = lambda c: F.lit("") if c in ("content", "created_at", "updated_at") else F.lit(None).cast(df.schema[c].dataType)
+    return df.select(*[F.col(c) if c in keep else blank(c).alias(c) for c in df.columns])
+
+
+def text_query(text: Column) -> Column:
+    """Every word of a query in quotes, joined by OR; the word OR itself is left out, control characters around words go."""
+    words = F.filter(F.transform(F.split(text, "\\s+"), lambda w: F.regexp_replace(w, "^\\p{Cc}+|\\p{Cc}+$", "")), lambda w: (w != "") & (w != "OR"))
+    return F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), F.replace(w, F.lit('"'), F.lit('""')), F.lit('"'))), " OR ")
+
+
+def event_faults(events: DataFrame) -> DataFrame:
+    """``(id, fault)``: why event rows ``(id, role, content, categories)`` are refused; one row a fault.
+
+    Empty content, ids of no or more than 256 bytes, unknown roles, one id with different rows, and categories with
+    other characters than letters, digits, blanks, ``-``, ``_`` and ``/``. Equal rows count once.
+    """
+    once = events.select("id", "role", "content", "categories").distinct()
+    size = F.octet_length("id")
+    odd = F.exists(F.coalesce("categories", F.array().cast("array<string>")), lambda c: ~F.coalesce(c.rlike("^[\\p{L}\\p{N} _/-]+$"), F.lit(False)))
+    tests = {
+        "empty content": F.col("content").isNull() | ~F.col("content").rlike("[^\\s\\p{Z}]"),
+        "id length": F.col("id").isNull() | ~size.between(1, 256),
+        "unknown role": F.col("role").isNull() | ~F.lower(F.trim("role")).isin("user", "human", "assistant", "model", "bot", "system", "tool"),
+        "category": odd,
+    }
+    faults = once.select("id", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))).alias("fault"))
+    twice = once.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("conflicting rows").alias("fault"))
+    return faults.unionByName(twice).distinct()
+
+
+def between_times(time: Column, since: str | None = None, until: str | None = None) -> Column:
+    """Whether a time lies between two, ends included; null is no time. An open end is none."""
+    out = time.isNotNull()
+    if since is not None:
+        out = out & (time >= F.lit(since).cast("timestamp"))
+    return out if until is None else out & (time <= F.lit(until).cast("timestamp"))
+
+
+def at_least(value: Column, least: float) -> Column:
+    """Whether a number reaches a threshold; NaN, infinite and null ones do not, and no threshold may be one."""
+    import math
+
+    if not math.isfinite(least):
+        raise ValueError("the threshold must be finite")
+    return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")) & (value >= least), F.lit(False))

@@ -81,3 +81,47 @@ def entity_search(entities: DataFrame, text: str, scope: Column | None = None) -
     """Entities whose name contains a text, whatever the case; wildcards have no meaning."""
     hit = F.lower("name").contains(text.lower())
     return entities.where(hit if scope is None else hit & scope)
+
+
+def incident(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(id, other, kind)``: every edge ``(source, target, kind)`` of the ``nodes(id)``, from the node's end.
+
+    "source = id or target = id" as an equi-join: each edge goes out from both its ends, a loop once.
+    """
+    ends = F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("other")), F.struct(F.col("target").alias("id"), F.col("source").alias("other")))
+    turned = edges.select("kind", F.explode(F.array_distinct(ends)).alias("e")).select("e.id", "e.other", "kind")
+    return turned.join(nodes.select("id").distinct(), "id", "left_semi")
+
+
+def with_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``edges(source, target, ...)`` with ``source_name`` and ``target_name`` from ``nodes(id, name)``; edges of unknown nodes are left out."""
+    named = nodes.groupBy("id").agg(F.min("name").alias("_name"))
+    out = edges
+    for c in ("source", "target"):
+        out = out.join(named.select(F.col("id").alias(c), F.col("_name").alias(f"{c}_name")), c)
+    return out.select(*edges.columns, "source_name", "target_name")
+
+
+def dictionary(entities: DataFrame) -> DataFrame:
+    """``(user_id, name)``: the names of every user's entities in lower case, once each."""
+    return entities.where("name is not null").select("user_id", F.lower("name").alias("name")).distinct()
+
+
+def searched(entities: DataFrame, edges: DataFrame, text: str, depth: int, first: int = 10, undirected: bool = False) -> DataFrame:
+    """``(id, hops)``: the ``first`` entities whose name contains a text, by name and id, and what is reached from them."""
+    start = entity_search(entities, text).select("id", "name").distinct().orderBy(F.lower("name"), "id").limit(first)
+    return neighbourhood(edges, start.select("id"), depth, undirected)
+
+
+def mentioning(rows: DataFrame, names: DataFrame, *texts: str) -> DataFrame:
+    """``rows`` of a user of which a text contains one of the user's ``names(user_id, name)``, whatever the case, as a substring.
+
+    Candidates meet by user and the name's first three letters, which a text that contains the name contains.
+    """
+    low = names.where("name <> ''").select("user_id", F.lower("name").alias("_name")).distinct().withColumn("_lead", F.substring("_name", 1, 3))
+    body = rows.select("id", "user_id", F.lower(F.concat_ws("\u0001", *texts)).alias("_text"))
+    places = F.sequence(F.lit(1), F.greatest(F.char_length("_text"), F.lit(1)))
+    grams = lambda n: F.transform(places, lambda i: F.substring(F.col("_text"), i, F.lit(n)))
+    leads = body.withColumn("_lead", F.explode(F.array_distinct(F.concat(*[grams(n) for n in (1, 2, 3)]))))
+    hit = leads.join(low, ["user_id", "_lead"]).where(F.col("_text").contains(F.col("_name"))).select("id").distinct()
+    return rows.join(hit, "id", "left_semi")

@@ -195,6 +195,46 @@ def hybrid_search(memories: DataFrame, query: str, vector: list[float] | None, s
     return top(fused, k)
 
 
+#: Columns of a result, in order; the score comes last.
+RESULT = [
+    "id", "content", "user_id", "agent_id", "run_id", "app_id", "created_at", "updated_at", "metadata", "importance", "access_count", "immutable", "expiration_date", "categories", "memory_type",
+    "stability", "privacy", "event_time", "session_id", "resolution", "superseded_by", "confidence",
+]
+
+
+def projected(rows: DataFrame, score: Column | None = None) -> DataFrame:
+    """The columns of a result, with a score by any expression, null without one; columns that ``rows`` lacks are null."""
+    have = set(rows.columns)
+    return rows.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in RESULT], (F.lit(None).cast("double") if score is None else score).alias("score"))
+
+
+def weighted(score: Column, resolution: Column) -> Column:
+    """A relevance times the weight of the row's resolution."""
+    return score * L.by_value(resolution, L.RESOLUTION_WEIGHT, 1.0)
+
+
+def over_threshold(hits: DataFrame, least: float | None, distance: bool = False) -> DataFrame:
+    """Hits whose score is ``least`` or more; with ``distance``, or less. None switches it off."""
+    if least is None:
+        return hits
+    return hits.where(F.col("score") <= least if distance else F.col("score") >= least)
+
+
+def scoped_top(rows: DataFrame, scopes: list[Column], widen: int, keep: Column, k: int) -> DataFrame:
+    """The best ``k`` rows that pass ``keep``, of the best ``widen`` of every scope: no scope crowds out another."""
+    parts = [top(rows.where(s), widen) for s in scopes]
+    return top(reduce(DataFrame.unionByName, parts).where(keep).dropDuplicates(["id"]), k)
+
+
+def fused_episodes(ranks: DataFrame, weights: dict[str, float], k: int = 60) -> DataFrame:
+    """``(id, score)`` over the channels of episodes; a single channel passes through with its own scores."""
+    several = F.min("channel").over(Window.partitionBy(F.lit(0)))  # the ranks of a few channels of k hits
+    marked = ranks.withColumn("_several", several != F.max("channel").over(Window.partitionBy(F.lit(0))))
+    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("channel")], F.lit(0.0))
+    part = F.when(F.col("_several"), weight / (k + F.col("rank"))).otherwise(F.col("score"))
+    return marked.groupBy("id").agg(F.sum(part).alias("score"))
+
+
 def rescored(hits: DataFrame, rows: DataFrame, count: int, now: Column, k: int = 10, ranges: list[tuple[str, str]] | None = None, per_session: int = 0, least: float | None = None) -> DataFrame:
     """``(id, score)``: fused ``hits`` after the time boost, forgetting, resolution weights, session cap and threshold.
 
@@ -208,9 +248,8 @@ def rescored(hits: DataFrame, rows: DataFrame, count: int, now: Column, k: int =
     days = F.coalesce(L.days_between(F.col("updated_at"), now), F.lit(0.0))
     kept = L.retention(days, F.coalesce("stability", F.lit(1.0)), F.col("resolution"))
     value = L.forgetting_score(F.least(F.lit(1.0), F.col("score") / most), kept, L.interference(F.lit(count)), F.coalesce("importance", F.lit(0.5)))
-    weighted = known.withColumn("score", near).withColumn("score", value * L.by_value(F.col("resolution"), L.RESOLUTION_WEIGHT, 1.0))
-    best = top(session_cap(weighted, per_session), k).select("id", "score")
-    return best if least is None else best.where(F.col("score") >= least)
+    final = known.withColumn("score", near).withColumn("score", weighted(value, F.col("resolution")))
+    return over_threshold(top(session_cap(final, per_session), k).select("id", "score"), least)
 
 
 def graph_augmented(hits: DataFrame, links: DataFrame, first: int = 10, n: int = 10) -> DataFrame:

@@ -356,7 +356,10 @@ def c5_identifiers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(F.sort_array(X.identifiers(F.col("text"))), " ").alias("ids"))
 
 
-@query("c6_content_hash")
+_FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST((instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1 AS HUGEINT))), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+
+
+@query("c6_content_hash", f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN lower(lpad(hex(CAST({_FNV} AS UBIGINT)), 16, '0')) END AS h FROM documents")
 def c6_content_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("h"))
 
@@ -415,7 +418,19 @@ def c28_reinforce(spark: SparkSession, d: str) -> DataFrame:
     return m.select("id", F.round(L.reinforced(F.col("stability"), kept), 5).alias("stability"))
 
 
-@query("c33_contradiction")
+def _contradiction_sql(a: str, b: str, newer: str) -> str:
+    """The contradiction score of texts ``a`` (old) and ``b`` (new)."""
+    quoted = lambda m: "'" + m.replace("'", "''") + "'"
+    has = lambda t, ms: "(" + " OR ".join(f"contains(lower({t}), {quoted(m)})" for m in ms) + ")"
+    lone = lambda t, p, q: f"contains(lower({t}), {quoted(p)}) AND NOT contains(lower({t}), {quoted(q)})"
+    opposed = " OR ".join(f"({lone(a, p, q)} AND {lone(b, q, p)}) OR ({lone(a, q, p)} AND {lone(b, p, q)})" for p, q in X.ANTONYMS)
+    numbers = lambda t: f"list_filter(list_transform(regexp_extract_all({t}, '[0-9][0-9.,]*'), lambda x: TRY_CAST(rtrim(replace(x, ',', ''), '.') AS DOUBLE)), lambda x: x > 0)"
+    changed = f"len(list_filter({numbers(a)}, lambda x: len(list_filter({numbers(b)}, lambda y: x <> y AND greatest(x, y) / least(x, y) < 10)) > 0)) > 0"
+    terms = [(f"{has(a, X.NEGATIONS)} <> {has(b, X.NEGATIONS)}", 0.3), (opposed, 0.2), (has(b, X.PREFERENCES), 0.2), (changed, 0.15), (newer, 0.15)]
+    return " + ".join(f"CASE WHEN {c} THEN {w} ELSE 0.0 END" for c, w in terms)
+
+
+@query("c33_contradiction", f"WITH {_CUR}, p AS (SELECT o.id, o.superseded_by, round({_contradiction_sql('o.content', 'n.content', 'n.created_at > o.created_at')}, 4) AS contradiction FROM cur o JOIN cur n ON n.id = o.superseded_by AND o.superseded_by <> o.id) SELECT * FROM p WHERE contradiction >= 0.3")
 def c33_contradiction(spark: SparkSession, d: str) -> DataFrame:
     m = memories(spark, d, "content", "superseded_by", "created_at")
     new = m.select(F.col("id").alias("superseded_by"), F.col("content").alias("new_content"), F.col("created_at").alias("new_at"))
@@ -539,10 +554,12 @@ def r15_superseding_chain(spark: SparkSession, d: str) -> DataFrame:
     return G.neighbourhood(e, start, 4)
 
 
-@query("r7_entity_links")
+_LINKS = r"l AS (SELECT DISTINCT cur.id, e.name FROM cur JOIN (SELECT DISTINCT user_id, name FROM entities WHERE name IS NOT NULL) e ON e.user_id = cur.user_id AND contains(lower(content), lower(name)) AND regexp_matches(lower(content), '(^|[^\p{L}\p{N}])' || regexp_escape(lower(name)) || '($|[^\p{L}\p{N}])'))"
+
+
+@query("r7_entity_links", f"WITH {_CUR}, {_LINKS} SELECT id, name FROM l")
 def r7_entity_links(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "entities").where("entity_type = 'pet'")
-    return G.linked_memories(memories(spark, d, "user_id", "content"), names)
+    return G.linked_memories(memories(spark, d, "user_id", "content"), table(spark, d, "entities"))
 
 
 @query("r18_forgetting_scores", f"WITH {_CUR}, n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n_ FROM cur) SELECT id, round(importance * (0.7 * {_RET.format(_DAYS)} * CASE WHEN n_ < 50 THEN 1.0 ELSE greatest(0.70, 1 / (1 + 0.15 * log2(n_ / 50.0))) END + 0.3 * importance), 5) AS score FROM n WHERE stability IS NOT NULL")
@@ -701,7 +718,7 @@ def x13_session_context_timed(spark: SparkSession, d: str) -> DataFrame:
     return E.session_context(_timed_events(spark, d), first, 150)
 
 
-@query("w7_chunks")
+@query("w7_chunks", r"WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?。！？])\s*', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '[^\s\p{Z}]')) AS ss FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, ss, unnest(range(0, greatest(len(ss) - 2, 0) + 1, 4)) AS a FROM s WHERE len(ss) > 0) SELECT doc_id, a // 4 AS chunk_no, array_to_string(list_slice(ss, a + 1, a + 5), ' ') AS chunk FROM c")
 def w7_chunks(spark: SparkSession, d: str) -> DataFrame:
     return E.chunks(table(spark, d, "documents").select("doc_id", "text"), "text", 5, 1).select("doc_id", "chunk_no", "chunk")
 
@@ -811,8 +828,9 @@ def m2_greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return L.greedy_duplicates(timed.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")))
 
 
-@query("r13_graph_augmented")
+@query("r13_graph_augmented", f"WITH {_CUR}, {_bm25_sql('cur', 'id', 'content', ['collar', 'bowl'])}, {_LINKS}, h AS (SELECT id, score FROM b ORDER BY round(score, 9) DESC, id LIMIT 30), f AS (SELECT id FROM h ORDER BY round(score, 9) DESC, id LIMIT 10), x AS (SELECT id, count(DISTINCT name) AS n FROM l WHERE name IN (SELECT name FROM l WHERE id IN (SELECT id FROM f)) AND id NOT IN (SELECT id FROM h) GROUP BY 1 ORDER BY n DESC, id LIMIT 10) SELECT id, round(score, 6) AS score FROM h UNION ALL SELECT id, round((SELECT min(score) FROM h) * n / (1.0 + n), 6) FROM x")
 def r13_graph_augmented(spark: SparkSession, d: str) -> DataFrame:
     m = memories(spark, d, "user_id", "content")
-    links = G.linked_memories(m, table(spark, d, "entities").where("entity_type = 'pet'"))
-    return R.graph_augmented(R.top(R.bm25(m, "id", "content", ["collar", "bowl"]), 30), links).select("id", F.round("score", 6).alias("score"))
+    links = G.linked_memories(m, table(spark, d, "entities"))
+    found = R.bm25(m, "id", "content", ["collar", "bowl"]).select("id", F.round("score", 9).alias("score"))
+    return R.graph_augmented(R.top(found, 30), links).select("id", F.round("score", 6).alias("score"))

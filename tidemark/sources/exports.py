@@ -107,6 +107,61 @@ def export_memories(memories: DataFrame, include_local: bool) -> DataFrame:
     return memories if include_local else memories.where("privacy is null or privacy <> 'local'")
 
 
+def sessions_of(messages: DataFrame, source: str, user_id: str) -> tuple[DataFrame, DataFrame]:
+    """(sessions, events) of imported messages: one session ``import-<source>-<conversation>`` a conversation.
+
+    ``messages`` is what the readers give. Messages without text are left out, equal rows count once; an event's id
+    is its session's and its own.
+    """
+    name = F.concat_ws("-", F.lit("import"), F.lit(source), "conversation")
+    rows = messages.where(F.col("content").rlike("[^\\s\\p{Z}]")).distinct().withColumn("session_id", name)
+    sessions = rows.groupBy("session_id").agg(F.min("at").alias("started_at"), F.max("at").alias("ended_at"), F.count("*").alias("n")).withColumn("user_id", F.lit(user_id))
+    events = rows.select(F.concat_ws("-", "session_id", "message_id").alias("id"), "session_id", F.lit(user_id).alias("user_id"), "role", "content", "at")
+    return sessions, events
+
+
+def full_export(tables: dict[str, DataFrame], keys: dict[str, str], user_id: str | None = None) -> DataFrame:
+    """``(layer, id, body)``: all rows of all layers as JSON, one row each; of one user where asked for.
+
+    ``keys`` names the id column of every layer. Null fields are written, so that an import finds every column.
+    """
+    out = None
+    for layer, df in tables.items():
+        own = df.where(F.col("user_id") == user_id) if user_id is not None and "user_id" in df.columns else df
+        part = own.select(F.lit(layer).alias("layer"), F.col(keys[layer]).cast("string").alias("id"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("body"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def full_import(exported: DataFrame, into: dict[str, DataFrame], keys: dict[str, str], rules: list[tuple[str, str, str, str]] = ()) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(all layers after the import, faults ``(rule, id)``): rows whose key a layer lacks are added, others skipped.
+
+    A body that cannot be read, has no key, or repeats one with other values is a fault, and so is a reference by
+    ``rules`` (layer, column, target layer, target column) that points at nothing. A row at fault is not imported.
+    """
+    from pyspark.sql import types as T
+
+    read: dict[str, DataFrame] = {}
+    faults = exported.where(~F.col("layer").isin(list(into))).select(F.concat(F.lit("layer "), "layer").alias("rule"), "id")
+    for layer, base in into.items():
+        key = keys[layer]
+        schema = T.StructType([*base.schema.fields, T.StructField("_corrupt_record", T.StringType())])
+        rows = exported.where(F.col("layer") == layer).select("id", F.from_json("body", schema, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).distinct()
+        fine = F.col("r").isNotNull() & F.col("r._corrupt_record").isNull() & F.col(f"r.{key}").isNotNull()
+        faults = faults.unionByName(rows.where(~F.coalesce(fine, F.lit(False))).select(F.lit(f"{layer} unreadable").alias("rule"), "id"))
+        good = rows.where(fine).select(*[F.col(f"r.{c}").alias(c) for c in base.columns])
+        twice = good.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+        faults = faults.unionByName(twice.select(F.lit(f"{layer} repeated").alias("rule"), F.col(key).cast("string").alias("id")))
+        good = good.join(twice, key, "left_anti")
+        read[layer] = good.join(base.select(key), key, "left_anti").select(*base.columns)
+    for layer, column, target, key in rules:
+        known = into[target].select(F.col(key).alias(column)).unionByName(read[target].select(F.col(key).alias(column))).distinct()
+        loose = read[layer].where(F.col(column).isNotNull()).join(known, column, "left_anti").select(*read[layer].columns)
+        faults = faults.unionByName(loose.select(F.lit(f"{layer}.{column}").alias("rule"), F.col(keys[layer]).cast("string").alias("id")))
+        read[layer] = read[layer].where(F.col(column).isNull()).unionByName(read[layer].join(known, column, "left_semi").select(*read[layer].columns))
+    return {layer: base.unionByName(read[layer]) for layer, base in into.items()}, faults.distinct()
+
+
 def broken_references(tables: dict[str, DataFrame], rules: list[tuple[str, str, str, str]]) -> DataFrame:
     """``(rule, id)``: values that point at nothing, by rules (table, column, target table, target column)."""
     out = None

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,18 @@ def current_memories(memories: DataFrame, *columns: str) -> DataFrame:
     packed = F.struct(version, *[F.col(c) for c in rest])
     best = memories.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(packed).alias("_m"))
     return best.select("id", *[F.col(f"_m.{c}").alias(c) for c in rest])
+
+
+def numbered(df: DataFrame, out: str, *order: str) -> DataFrame:
+    """``df`` with ``out``: the number of each row, from 0 without gaps, in the order of columns over the whole table.
+
+    Rows are sorted in ranges, each range counts its own, and adds those of the ranges before it: one number a range,
+    and no task with all rows. Rows that tie in all of ``order`` get their numbers in any order.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(placed.withColumn("_mid", F.monotonically_increasing_id()))  # once, for the numbers are those of one run
+    placed = placed.withColumns({"_range": F.shiftright("_mid", 33), "_mid": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))})
+    ranges = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    ranges = F.broadcast(ranges.select("_range", before.alias("_before")))  # as many rows as partitions
+    return placed.join(ranges, "_range").withColumn(out, F.col("_mid") + F.col("_before")).drop("_mid", "_range", "_before")
