@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MANIFEST = "manifest"
 
@@ -29,14 +31,14 @@ class Store:
         found = self._fs.globStatus(self._path(f"{self.root}/{name}-*.json")) or []
         return max((int(f.getPath().getName()[len(name) + 1 : -5]) for f in found), default=0)
 
-    def _read(self, name: str) -> dict[str, str]:
+    def _read(self, name: str) -> dict:
         last = self._last(name)
         if not last:
             return {}
         rows = self.spark.read.text(f"{self.root}/{name}-{last:012d}.json", wholetext=True).collect()
         return json.loads(rows[0].value)
 
-    def _write(self, name: str, tables: dict[str, str]) -> None:
+    def _write(self, name: str, tables: dict) -> None:
         to = self._path(f"{self.root}/{name}-{self._last(name) + 1:012d}.json")
         made = self._path(f"{self.root}/{name}-{uuid.uuid4().hex}.new")
         stream = self._fs.create(made, True)
@@ -48,16 +50,38 @@ class Store:
     def tables(self) -> list[str]:
         return sorted(self._read(MANIFEST))
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self._read(MANIFEST)[name]}")
-
-    def commit(self, changed: dict[str, DataFrame]) -> None:
-        """Write the changed tables beside the old ones, then let the manifest name them, all at once."""
+    def table(self, name: str, parts: list[int] | None = None) -> DataFrame:
+        """A table, or of one that is kept in parts only the named ones."""
+        held = self._read(MANIFEST)[name]
+        if isinstance(held, str):
+            return self.spark.read.parquet(f"{self.root}/{held}")
+        schema = StructType.fromJson(json.loads(held["schema"]))
+        folders = [f"{self.root}/{f}" for p, f in held["parts"].items() if parts is None or int(p) in parts]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def commit(self, changed: dict[str, DataFrame | tuple[DataFrame, Column, list[int]]]) -> None:
+        """Write the changed tables beside the old ones, then let the manifest name them, all at once.
+
+        A table kept in parts is given as (rows, part of a row, parts that change): its other parts stay where they are
+        and are not written again. Rows of parts besides those named are an error of the caller and are left out.
+        """
         now = self._read(MANIFEST)
-        for name, df in changed.items():
+        for name, given in changed.items():
             folder = f"{name}/{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.root}/{folder}")
-            now[name] = folder
+            if isinstance(given, DataFrame):
+                given.write.parquet(f"{self.root}/{folder}")
+                now[name] = folder
+                continue
+            rows, part, touched = given
+            rows.withColumn("_part", part).where(F.col("_part").isin(touched)).write.partitionBy("_part").parquet(f"{self.root}/{folder}")
+            parts = dict(now[name]["parts"]) if isinstance(now.get(name), dict) else {}
+            for p in touched:
+                at = f"{folder}/_part={p}"
+                if self._fs.exists(self._path(f"{self.root}/{at}")):
+                    parts[str(p)] = at
+                else:
+                    parts.pop(str(p), None)
+            now[name] = {"schema": rows.schema.json(), "parts": parts}
         self._write(MANIFEST, now)
 
     def backup(self, label: str) -> None:
@@ -71,3 +95,11 @@ class Store:
 
     def stats(self) -> dict[str, int]:
         return {t: self.table(t).count() for t in self.tables()}
+
+    def sizes(self) -> dict[str, int]:
+        """Bytes of every table of the version in force."""
+        out = {}
+        for name, held in self._read(MANIFEST).items():
+            folders = [held] if isinstance(held, str) else list(held["parts"].values())
+            out[name] = sum(int(self._fs.getContentSummary(self._path(f"{self.root}/{f}")).getLength()) for f in folders)
+        return out
