@@ -23,7 +23,7 @@ from tidemark.operators import lifecycle as L
 from tidemark.operators import retrieval as R
 from tidemark.operators import state as S
 from tidemark.operators import writes as W
-from tidemark.sources.store import Store
+from tidemark.sources.store import Append, Store
 from tidemark.streaming.ingest import payload_hash, split_batch
 from tidemark.tables import written
 
@@ -100,7 +100,7 @@ class Engine:
 
     def configure(self, values: dict[str, str]) -> None:
         rows = self.spark.createDataFrame(list(values.items()), "key string, value string").withColumn("written_at", F.current_timestamp())
-        self.store.commit({"config": self.store.table("config").unionByName(rows)})
+        self.store.commit({"config": Append(rows)})
 
     # ---- facts
 
@@ -124,9 +124,9 @@ class Engine:
         new = history.where("event = 'ADD'").select("id")
         links = self.store.table("links")
         named = G.linked_memories(memories.join(new, "id", "left_semi"), self.store.table("entities"))
-        links = written(W.linked(links, named))
-        memories = W.superseded(memories, new, links, self.embedder.dimensions, self.time())
-        self.store.commit({"memories": self._as_given("memories", memories, touched), "history": self.store.table("history").unionByName(history), "links": links})
+        fresh = written(W.linked(links.where("false"), named).join(links, ["id", "name"], "left_anti"))
+        memories = W.superseded(memories, new, links.unionByName(fresh), self.embedder.dimensions, self.time())
+        self.store.commit({"memories": self._as_given("memories", memories, touched), "history": Append(history), "links": Append(fresh)})
         return history
 
     def search(self, text: str, user_id: str, agent_id: str | None = None, filter: dict | None = None, k: int = 10, per_session: int = 0, least: float | None = None, augment: int = 0, scorer: object = None) -> DataFrame:  # noqa: A002
@@ -195,7 +195,7 @@ class Engine:
         most = self.memories().agg(F.coalesce(F.max("sync_version"), F.lit(0)).alias("m")).first()[0]
         rows = gone.select("id", "user_id", "event", "old_content", F.lit(None).cast("string").alias("new_content"), F.lit(most + 1).cast("bigint").alias("version"))
         left = self.memories(touched).join(gone.select("id"), "id", "left_anti")
-        self.store.commit({"memories": self._as_given("memories", left.select(*stay.columns), touched), "history": self.store.table("history").unionByName(rows), "links": self.store.table("links").join(gone.select("id"), "id", "left_anti")})
+        self.store.commit({"memories": self._as_given("memories", left.select(*stay.columns), touched), "history": Append(rows), "links": self.store.table("links").join(gone.select("id"), "id", "left_anti")})
         return rows
 
     def history(self, ids: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ class Engine:
             made = made.withColumn("summary", F.coalesce(F.get_json_object(told, "$.summary"), "summary"))
         made = written(made.withColumn("id", F.concat_ws("-", F.lit("episode"), "session_id", "start_at")))
         episodes = made.select("id", "user_id", "title", "summary", "n", "start_at", "end_at")
-        whole = W.inserted_if_absent(self.store.table("episodes"), episodes, ["id"])
+        fresh = written(episodes.join(self.store.table("episodes").select("id"), "id", "left_anti"))
         touched = self._touched(made)
         base = self.memories(touched)
         facts = made.select(F.concat_ws("-", F.lit("narrative"), "id").alias("id"), F.col("summary").alias("content"), "user_id", "session_id", F.col("id").alias("episode_id"), F.lit("narrative").alias("resolution"))
@@ -273,7 +273,7 @@ class Engine:
         fields = T.StructType.fromDDL(MEMORIES)
         facts = written(W.next_versions(facts, base, "id"))
         facts = facts.select(*[(F.col(f.name) if f.name in facts.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
-        self.store.commit({"episodes": whole, "processed": done.unionByName(open_events.select("id")).distinct(), "memories": self._as_given("memories", W.inserted_if_absent(base, facts, ["id"]), touched)})
+        self.store.commit({"episodes": Append(fresh), "processed": Append(open_events.select("id").distinct()), "memories": self._as_given("memories", W.inserted_if_absent(base, facts, ["id"]), touched)})
         return episodes
 
     def recompute(self) -> DataFrame:
@@ -304,7 +304,7 @@ class Engine:
             rows = rows.join(gone.select("id"), "id", "left_anti").select(*before.columns)
         after = written(rows)
         told = written(S.counters(before, after, "id", ["content", "importance"]))
-        self.store.commit({"memories": self._as_given("memories", after), "runs": self.store.table("runs").unionByName(told.select(self.time().alias("started_at"), F.lit("meditate").alias("kind"), "created", "updated", "deleted", "unchanged"))})
+        self.store.commit({"memories": self._as_given("memories", after), "runs": Append(told.select(self.time().alias("started_at"), F.lit("meditate").alias("kind"), "created", "updated", "deleted", "unchanged"))})
         if self.model is not None:
             self.add(self.drawn_facts())
         return told

@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import json
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 MANIFEST = "manifest"
+#: Folders that appends to a table may leave; more are written together.
+FOLDERS = 64
+
+
+class Append(NamedTuple):
+    """Rows to add to a table, whose other rows stay where they are."""
+
+    rows: DataFrame
 
 
 class Store:
@@ -53,13 +62,13 @@ class Store:
     def table(self, name: str, parts: list[int] | None = None) -> DataFrame:
         """A table, or of one that is kept in parts only the named ones."""
         held = self._read(MANIFEST)[name]
-        if isinstance(held, str):
-            return self.spark.read.parquet(f"{self.root}/{held}")
+        if isinstance(held, list):
+            return self.spark.read.parquet(*[f"{self.root}/{f}" for f in held])
         schema = StructType.fromJson(json.loads(held["schema"]))
         folders = [f"{self.root}/{f}" for p, f in held["parts"].items() if parts is None or int(p) in parts]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def commit(self, changed: dict[str, DataFrame | tuple[DataFrame, Column, list[int]]]) -> None:
+    def commit(self, changed: dict[str, DataFrame | Append | tuple[DataFrame, Column, list[int]]]) -> None:
         """Write the changed tables beside the old ones, then let the manifest name them, all at once.
 
         A table kept in parts is given as (rows, part of a row, parts that change): its other parts stay where they are
@@ -68,9 +77,13 @@ class Store:
         now = self._read(MANIFEST)
         for name, given in changed.items():
             folder = f"{name}/{uuid.uuid4().hex}"
-            if isinstance(given, DataFrame):
-                given.write.parquet(f"{self.root}/{folder}")
-                now[name] = folder
+            if isinstance(given, (DataFrame, Append)):
+                before = now.get(name, []) if isinstance(given, Append) else []
+                rows = given if isinstance(given, DataFrame) else given.rows
+                if len(before) >= FOLDERS:
+                    rows, before = self.table(name).unionByName(rows), []
+                rows.write.parquet(f"{self.root}/{folder}")
+                now[name] = [*before, folder]
                 continue
             rows, part, touched = given
             rows.withColumn("_part", part).where(F.col("_part").isin(touched)).write.partitionBy("_part").parquet(f"{self.root}/{folder}")
@@ -100,6 +113,6 @@ class Store:
         """Bytes of every table of the version in force."""
         out = {}
         for name, held in self._read(MANIFEST).items():
-            folders = [held] if isinstance(held, str) else list(held["parts"].values())
+            folders = held if isinstance(held, list) else list(held["parts"].values())
             out[name] = sum(int(self._fs.getContentSummary(self._path(f"{self.root}/{f}")).getLength()) for f in folders)
         return out
