@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.tables import cut, written
+from tidemark.tables import cut, numbered, written
 
 #: The roles and their spellings.
 ROLES = {"user": "u", "human": "u", "assistant": "a", "model": "a", "bot": "a", "system": "s", "tool": "t"}
@@ -16,8 +16,6 @@ INVISIBLE = "\\p{Z}\\p{Cc}\\p{Cf}\\u115f\\u1160\\u2800\\u3164\\uffa0\\ufe00-\\uf
 #: Messages of one fragment, and how many of them the next one repeats.
 FRAGMENT, OVERLAP = 64, 4
 
-_ORDINAL = (1 << 33) - 1
-
 
 def role_code(role: Column) -> Column:
     """One letter for a readable role, whatever its case and surrounding blanks; null for any other."""
@@ -104,17 +102,11 @@ def fragments_of(messages: DataFrame, fragment: int, overlap: int) -> DataFrame:
     where sessions meet. No session, however long, comes together in one task. What the next fragment repeats
     is marked by ``own`` false there. A fragment may hold repeated messages only.
     """
-    order = messages.repartitionByRange("session_id", "m").sortWithinPartitions("session_id", "m")
-    order = written(order.withColumn("_at", F.monotonically_increasing_id()))  # once, for the numbers are those of one run
-    order = order.select("session_id", "m", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit(_ORDINAL)).alias("_at"))
-    ranges = order.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    ranges = F.broadcast(ranges.select("_range", before.alias("_before")))  # as many rows as partitions
-    numbered = order.join(ranges, "_range").withColumn("_at", F.col("_at") + F.col("_before"))
+    numbered_rows = numbered(messages, "_at", "session_id", "m")
     home = F.floor(F.col("_at") / fragment).cast("bigint")
     repeated = F.col("_at") % fragment >= fragment - overlap
     places = F.when(repeated, F.array(home, home + 1)).otherwise(F.array(home))
-    placed = numbered.select("session_id", "m", home.alias("_home"), F.explode(places).alias("frag"))
+    placed = numbered_rows.select("session_id", "m", home.alias("_home"), F.explode(places).alias("frag"))
     one = F.struct("m", (F.col("_home") == F.col("frag")).alias("own"))
     return placed.groupBy("session_id", "frag").agg(F.sort_array(F.collect_list(one)).alias("ms"))
 
