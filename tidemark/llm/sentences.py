@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -90,11 +91,13 @@ PAIRS = {"“": "”", "「": "」", "『": "』", "„": "“”", "«": "»",
 CLOSES = {c: [o for o, ends in PAIRS.items() if c in ends] for ends in PAIRS.values() for c in ends}
 BRACKETS = frozenset("（(［[【〈《〔〖")
 
-_ends = "".join(re.escape(c) for c in sorted(STERM | {"…"}))
 _marks = "".join(re.escape(c) for c in sorted({*PAIRS, *CLOSES, '"'}))
 _stops = "".join(re.escape(c) for c in sorted(ATERM))
 _PARAGRAPH = re.compile(r"(?:(?:\r\n|[\n\r\x85\u2028])[^\S\n\r\x85\u2028\u2029]*){2,}|\u2029")
-_MARK = re.compile(r"[.…]{2,}|[" + _stops + "]|[" + _ends + "]+|[" + _marks + r"]|(?<=\p{Thai})\s+|\s+(?=\p{Thai})")
+_signs = r"(?![\w ])(?:[.…]{2,}|[" + _stops + r"]|[\p{Sentence_Break=STerm}…]+|[" + _marks + "])"  # the first test passes over letters fast
+_MARK = re.compile(_signs)
+_MARK_THAI = re.compile(_signs + r"|(?<=\p{Thai})\s+|\s+(?=\p{Thai})")
+_THAI = re.compile(r"\p{Thai}")
 _QUOTE = re.compile("[" + _marks + "]")
 _TAIL = re.compile(r"[\p{Extended_Pictographic}--\p{Nd}#*©®™\uFE0F\u200D\U0001F3FB-\U0001F3FF\U0001F1E6-\U0001F1FF]+", re.V1)
 _MORE_EMOJI = re.compile(r"(?:[^\S\n\r]*(?:[\p{Extended_Pictographic}--[\p{Nd}#*©®™]][\uFE0F\u200D\U0001F3FB-\U0001F3FF]*|[\U0001F1E6-\U0001F1FF]{2})+)+", re.V1)
@@ -103,17 +106,13 @@ _SPACED = re.compile(r"(?:^|(?<=[\s(]))((?:\p{L}\. )+\p{L})$")
 _NUMBER_BEFORE = re.compile(r"(?:^|\s)(\p{L}+)\s+\d{1,4}$")
 _TIME_IN_FRONT = re.compile(r"(?:^|[,;]\s*)(?:and )?at\s+\d{1,2}(?::\d\d)?\s*[ap]\.?m$", re.I)
 _WORD = re.compile(r"[\p{L}\p{M}]+")
-_LATIN_WORD = re.compile(r"[a-zà-ÿœ]+")
 _SCRIPTS = [("hi", re.compile(r"\p{Devanagari}")), ("ar", re.compile(r"\p{Arabic}")), ("ru", re.compile(r"\p{Cyrillic}"))]
 
 
 def votes(text: str) -> dict[str, int]:
     """How many frequent words of each language a text in Latin letters has."""
-    words = _LATIN_WORD.findall(text.lower())
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    return {k: sum(counts.get(w, 0) for w in ws) for k, ws in FREQUENT.items()}
+    counts = Counter(text.lower().split())
+    return {k: sum(map(counts.__getitem__, ws)) for k, ws in FREQUENT.items()}
 
 
 def told(own: dict[str, int], least: int) -> str | None:
@@ -150,8 +149,9 @@ def _pairs(text: str, start: int, end: int) -> dict[int, int]:
 class _Paragraph:
     """One paragraph: finds its sentences from left to right."""
 
-    def __init__(self, text: str, start: int, end: int, lower: bool, whole: Callable[[], str | None]):
+    def __init__(self, text: str, start: int, end: int, lower: bool, thai: bool, whole: Callable[[], str | None]):
         self.text, self.start, self.end, self.lower, self.whole = text, start, end, lower, whole
+        self.mark = _MARK_THAI if thai else _MARK
         self.known: list[str] | None = None
         self.pairs: dict[int, int] | None = None
 
@@ -296,7 +296,7 @@ class _Paragraph:
         begin = self.next_at(self.start)
         k = begin
         while k < end:
-            m = _MARK.search(text, k, end)
+            m = self.mark.search(text, k, end)
             if m is None:
                 break
             at, mark = m.start(), m[0]
@@ -378,11 +378,11 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     def whole() -> str | None:
         return told(votes(text), 1)
 
-    found, at = [], 0
+    found, at, thai = [], 0, _THAI.search(text) is not None
     for m in [*_PARAGRAPH.finditer(text), None]:
         end = m.start() if m else len(text)
         part = text[at:end]
-        found.extend(_Paragraph(text, at, end, part.lower() == part, whole).spans())
+        found.extend(_Paragraph(text, at, end, part.lower() == part, thai, whole).spans())
         at = m.end() if m else end
     return found
 
