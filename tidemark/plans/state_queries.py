@@ -15,7 +15,7 @@ from tidemark.operators import retrieval as R
 from tidemark.operators import search_index as N
 from tidemark.operators import state as T
 from tidemark.operators import writes as W
-from tidemark.plans.memory_queries import _ACTIVE, _AUTO, _CUR, _FUSE, _TIME, AGENT, NOW, USER, _bm25_sql, _document_ranks, memories, micros, now, query
+from tidemark.plans.memory_queries import _ACTIVE, _AUTO, _CUR, _FUSE, _TIME, _TOK, AGENT, NOW, USER, _bm25_sql, _document_ranks, memories, micros, now, query
 from tidemark.sources import exports as S
 from tidemark.tables import table, written
 
@@ -259,6 +259,28 @@ def r4_batch(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 5).alias("score"), "rank")
 
 
+_IDS = r"list_distinct(list_transform(list_filter(list_transform(regexp_split_to_array({0}, '\s+'), lambda x: regexp_replace(x, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda x: strlen(x) >= 4 AND regexp_matches(x, '[0-9]')), lambda x: lower(x)))"
+_SEES = "(q.agent_id IS NULL OR r.agent_id IS NULL OR r.agent_id = q.agent_id)"
+
+
+@query(
+    "r21_batch",
+    f"WITH {_CUR}, r AS (SELECT id, content, user_id, agent_id FROM cur WHERE {_ACTIVE} AND content IS NOT NULL UNION ALL SELECT DISTINCT id, content, user_id, agent_id FROM scenarios WHERE kind = 'event' AND content IS NOT NULL), "
+    f"q AS (SELECT item_id AS query, query AS text, user_id, agent_id FROM eval_items), w AS (SELECT id, {_AUTO.format('content')} AS ws FROM r), p AS (SELECT term, id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, unnest(ws) AS term, len(ws) AS dl FROM w) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), c AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM w), "
+    f"t AS (SELECT DISTINCT query, unnest({_AUTO.format('text')}) AS term FROM q), s AS (SELECT 'text' AS channel, t.query, p.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS score FROM t JOIN df USING (term) JOIN p USING (term) JOIN r ON r.id = p.id JOIN q ON q.query = t.query AND q.user_id = r.user_id AND {_SEES} CROSS JOIN c GROUP BY 2, 3 "
+    f"UNION ALL SELECT 'overlap', query, id, len(list_filter(ws, lambda x: contains(lower(content), x))) / CAST(len(ws) AS DOUBLE) FROM (SELECT q.query, r.id, r.content, list_distinct({_TOK.format('q.text')}) AS ws FROM q JOIN r ON r.user_id = q.user_id AND {_SEES}) WHERE len(ws) > 0 AND len(list_filter(ws, lambda x: contains(lower(content), x))) > 0 "
+    f"UNION ALL SELECT 'identifier', q.query, r.id, CAST(len(list_intersect({_IDS.format('q.text')}, {_IDS.format('r.content')})) AS DOUBLE) FROM q JOIN r ON r.user_id = q.user_id AND {_SEES} WHERE len(list_intersect({_IDS.format('q.text')}, {_IDS.format('r.content')})) > 0), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY query, channel ORDER BY round(score, 9) DESC, id) AS rk FROM s), f AS (SELECT query, id, sum(CASE channel WHEN 'text' THEN 0.35 WHEN 'overlap' THEN 0.15 ELSE 1.05 END / (30 + rk)) AS score, bool_or(channel = 'identifier' AND rk = 1) AS top_ FROM k WHERE rk <= 30 GROUP BY 1, 2), "
+    "g AS (SELECT query, id, CASE WHEN top_ THEN max(score) OVER (PARTITION BY query) + 1 ELSE score END AS score FROM f), o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM g) SELECT query, id, round(score, 6) AS score, rank FROM o WHERE rank <= 10",
+)
+def r21_batch(spark: SparkSession, d: str) -> DataFrame:
+    active = memories(spark, d, "content", "user_id", "agent_id", "superseded_by", "expiration_date", "valid_until").where(P.active(now()))
+    events = table(spark, d, "scenarios").where("kind = 'event'").select("id", "content", "user_id", "agent_id").distinct()
+    rows = written(active.select("id", "content", "user_id", "agent_id").unionByName(events))
+    asked = table(spark, d, "eval_items").select(F.col("item_id").alias("query"), F.col("query").alias("text"), "user_id", "agent_id")
+    return N.search_batch(asked, rows).select("query", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("m29_vector_table", f"WITH {_V} SELECT id, user_id, round(list_sum(list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y))))), 4) AS total FROM v")
 def m29_vector_table(spark: SparkSession, d: str) -> DataFrame:
     t = N.vector_table(memories(spark, d, "embedding", "user_id"), "id", "embedding", 64, "user_id")
