@@ -130,3 +130,19 @@ def test_labels():
     assert tag_row("ab c", [(0, 2, "name")]).tolist() == [1, 2, 0, 0]
     new, spans = label.varied(text, np.random.default_rng(0))
     assert [k for _, _, k in spans] == [k for _, k in got] and all(0 <= a < b <= len(new) for a, b, _ in spans)
+
+
+def test_names_of_no_list_in_sentences_of_no_training_text():
+    from tidemark.llm.pii_labels import made_up_name
+    from tidemark.llm.tagger import load, model_bytes
+
+    rng = np.random.default_rng(77)
+    frames = [("latin", "Yesterday {} came by with the blue bowl."), ("latin", "Die Leine gehört {}, sagte sie."), ("han", "昨天{}把蓝色的碗带来了。"), ("kana", "昨日{}が青い器を持ってきた。")]
+    texts, want = [], []
+    for k in range(400):
+        kind, frame = frames[k % 4]
+        name = made_up_name(rng, kind)
+        texts.append(frame.format(name))
+        want.append((frame.index("{"), frame.index("{") + len(name), "name"))
+    found = tagged_spans(load(model_bytes()), texts)
+    assert sum(w in f for w, f in zip(want, found, strict=True)) >= 0.5 * len(want)  # 211 of 400 when the model was trained

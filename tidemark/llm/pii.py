@@ -16,8 +16,6 @@ from tidemark.llm.tagger import Tagger, load, model_bytes
 
 _WORDY = re.compile(r"[\p{Latin}\p{M}\d]")
 _EMAILY = re.compile(r"[A-Za-z0-9._+\-]")
-#: What stands between the start of an address and the part of it that carries its name.
-_LEADS = re.compile(r"(?:\d{1,4}[A-Da-d]?(?: (?:bis|ter))?,? ?)(?:(?:rue|place|avenue|boulevard|chemin|impasse|allée|quai|av\.)\s(?:d\w*\s)?)?$|(?:C/|Calle|Avda\.|Avenida|Plaza|Paseo|Camino)\s(?:de(?:l| la)?\s)?(?:\p{L}+,?\s)?$", re.I)
 #: Digits in groups of three, two and four: a social number, never a telephone.
 _SOCIAL = re.compile(r"\d{3}([\- ])\d\d\1\d{4}")
 #: Texts that one call of the tagger gets.
@@ -39,9 +37,6 @@ def _whole(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     if kind == "email":
         while a < b and text[a] in "._+-":
             a += 1
-    if kind == "address":
-        lead = _LEADS.search(text, max(0, a - 24), a)
-        a = lead.start() if lead else a
     if kind == "phone":
         while a > 0 and text[a - 1] in "+＋(（":
             a -= 1

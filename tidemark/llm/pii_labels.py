@@ -52,6 +52,29 @@ SHAPES: dict[str, list[str]] = {
 _COMPILED = [(k, re.compile(p)) for k in ("email", "address", "phone", "id_number") for p in SHAPES[k]]
 
 
+#: Frequent family names and characters of given names, from which names in Chinese and Japanese are made up.
+_HAN_FAMILY = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹"
+_HAN_GIVEN = "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平刚桂英华玉萍红建文志国雨欣思远子涵浩宇佳怡梓轩晓"
+_JA_FAMILY = "佐藤 鈴木 高橋 田中 伊藤 渡辺 山本 中村 小林 加藤 吉田 山田 佐々木 松本 井上 木村 斎藤 清水 山崎 阿部 池田 橋本".split()
+_JA_GIVEN = "健太 由美 翔太 美咲 大輔 陽子 拓也 さくら 直樹 恵子 誠 葵 悠斗 結衣 蓮 ひなた 和也 真由美 浩二 あかり".split()
+_ONSETS = "b br c ch d dr f fr g gr h j k kl l m n p pr qu r s sh st t th tr v w y z ø".split()
+_VOWELS = "a a a e e e i i o o u ai ea ia io ou á é í ó ö ü å".split()
+_CODAS = ["", "", "", "n", "r", "l", "s", "nd", "rt", "ck", "sz", "ll", "m", "th", "k"]
+
+
+def made_up_name(rng, kind: str) -> str:
+    """A name of no list: from syllables in Latin letters, else of a family and a given name in Chinese or Japanese."""
+    pick = lambda values: values[rng.integers(len(values))]
+    if kind == "han":
+        return pick(_HAN_FAMILY) + "".join(pick(_HAN_GIVEN) for _ in range(1 + rng.integers(2)))
+    if kind == "kana":
+        return pick(_JA_FAMILY) + pick(["", "", " "]) + pick(_JA_GIVEN)
+    word = lambda n: "".join(pick(_ONSETS[:-1] if k else _ONSETS) + pick(_VOWELS) + pick(_CODAS) for k in range(n)).capitalize()
+    first, last = word(1 + rng.integers(3)), word(1 + rng.integers(3))
+    last = pick([last, last, last, last, f"Mc{last}", f"{last}-{word(1)}", f"{word(1)} {last}"])
+    return pick([f"{first} {last}", f"{first} {last}", f"{first} {last}", f"{last}, {first}"])
+
+
 class Labeller:
     """Spans of a text as (start, end, kind); the names are the full names of listed persons."""
 
@@ -73,17 +96,23 @@ class Labeller:
         return sorted(found)
 
     def varied(self, text: str, rng) -> tuple[str, list[tuple[int, int, str]]]:
-        """The text with other listed names, mixed anew, and other spellings of its spans; with the new spans."""
+        """The text with other names, listed and mixed anew or made up, other digits and other spellings of its spans; with the new spans."""
         out, spans, at = [], [], 0
         length = 0
         for a, b, kind in self(text):
             span = text[a:b]
-            if kind == "name":
+            if kind == "name" and rng.random() < 0.6:
+                wide = any("\u3040" <= c <= "\u9fff" for c in span)
+                japanese = wide and any("\u3040" <= c < "\u3100" for c in text)
+                span = made_up_name(rng, "kana" if japanese else "han" if wide else "latin")
+            elif kind == "name":
                 if span.isascii() and self.first:
                     f, s = self.first[rng.integers(len(self.first))], self.last[rng.integers(len(self.last))]
                     span = [f"{f} {s}", f"{f} {s}", f"{s}, {f}", f"{f}  {s}"][rng.integers(4)]
                 elif not span.isascii() and self.other:
                     span = self.other[rng.integers(len(self.other))]
+            elif rng.random() < 0.3:  # other digits, but for the first
+                span = span[:1] + "".join(str(rng.integers(10)) if c.isascii() and c.isdigit() else c for c in span[1:])
             if kind != "id_number":
                 span = [span, span, span.lower(), span.upper()][rng.integers(4)]
             out += [text[at:a], span]

@@ -1,4 +1,4 @@
-"""Training of the character tagger: ``python -m tidemark.llm.tagger_training TABLES OUT [EPOCHS]``.
+"""Training of the character tagger: ``python -m tidemark.llm.tagger_training TABLES OUT [EPOCHS [MODEL]]``, from new weights or those of MODEL.
 
 It reads at most MAX_ROWS texts of ``memories`` and ``scenarios``, labels them with the listed names and the
 shapes in ``pii_labels``, and fits the weights by gradient descent on the CRF's negative log-likelihood.
@@ -159,7 +159,7 @@ def evaluate(tagger: Tagger, rows: list[tuple[str, list]], starts: bool = True)
     return ", ".join(f"{k} p {hit[k, 'hit'] / max(1, hit[k, 'have']):.3f} r {hit[k, 'hit'] / max(1, hit[k, 'want']):.3f}" for k in KINDS)
 
 
-def main(tables: str, out: str, epochs: int = 14) -> None:
+def main(tables: str, out: str, epochs: int = 14, model: str | None = None) -> None:
     rng = np.random.default_rng(11)
     texts, people = texts_of(tables)
     label = Labeller(people)
@@ -171,6 +171,11 @@ def main(tables: str, out: str, epochs: int = 14) -> None:
     train += [label.varied(t, rng) for t, spans in train if spans for _ in range(VARIANTS)]
     count = Counter(c for t, _ in train for c in t)
     alphabet = Alphabet("".join(sorted(c for c, n in count.items() if n >= 12 and not c.isspace() and not c.isdigit() and ord(c) < 0x10000)))
+    if model:
+        with np.load(model) as before:
+            alphabet, w = Alphabet(str(before["chars"])), {k: before[k].astype(np.float32) for k in before.files if k != "chars"}
+    else:
+        w = start_weights(alphabet, rng)
     cut = []
     for t, spans in train:
         coded, tags = alphabet.encode(t), tag_row(t, spans)
@@ -178,7 +183,6 @@ def main(tables: str, out: str, epochs: int = 14) -> None:
             cut.append((coded[a : a + WINDOW], tags[a : a + WINDOW]))
     print(len(rows), "texts,", len(spanned), "with spans,", len(cut), "windows,", alphabet.size - RESERVED, "characters", flush=True)
     shared = np.array([*range(RESERVED), *[char_class(c) for c in alphabet.chars]], np.int32)
-    w = start_weights(alphabet, rng)
     m, v, n = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
     for epoch in range(epochs):
         began, losses = time.time(), []
@@ -196,7 +200,7 @@ def main(tables: str, out: str, epochs: int = 14) -> None:
             losses.append(loss)
             norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
             n += 1
-            rate = RATE * min(1, n / 50) * (0.5 * (1 + np.cos(np.pi * n / (epochs * len(batches)))) + 0.02)
+            rate = RATE * (0.5 if model else 1.0) * min(1, n / 50) * (0.5 * (1 + np.cos(np.pi * n / (epochs * len(batches)))) + 0.02)
             for k in w:
                 d = g[k] * min(1, 0.5 / norm)
                 m[k] = 0.9 * m[k] + 0.1 * d
@@ -207,4 +211,4 @@ def main(tables: str, out: str, epochs: int = 14) -> None:
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], sys.argv[2], int(sys.argv[3]) if len(sys.argv) > 3 else 14)
+    main(sys.argv[1], sys.argv[2], int(sys.argv[3]) if len(sys.argv) > 3 else 14, sys.argv[4] if len(sys.argv) > 4 else None)
