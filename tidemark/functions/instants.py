@@ -124,6 +124,11 @@ def days_in_month(y: Column, m: Column) -> Column:
     return F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
 
 
+def _map(values: dict[str, int]) -> Column:
+    """A constant map, as one expression."""
+    return F.expr("map(" + ", ".join(f"'{k}', {v}" for k, v in values.items()) + ")")
+
+
 def bound(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns whose expressions the optimizer can neither repeat nor push filters into.
 
@@ -158,12 +163,12 @@ def with_instant(df: DataFrame, value: str, out: str, zone: Column | str | None
     if isinstance(month_first, bool):
         month_first = F.lit(month_first)
     lead = F.coalesce(month_first, F.lit(False))
-    by_name = F.try_element_at(F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv]), F.lower(at["name"])).cast("bigint")
+    by_name = F.try_element_at(_map(MONTHS), F.lower(at["name"])).cast("bigint")
     dated = F.coalesce(num("month"), F.when(at["name"] != "", by_name), F.when(lead, first).otherwise(second), F.lit(1))
     day = F.coalesce(num("day"), F.when(lead, second).otherwise(first), F.lit(1))
     half = F.when(F.lower(at["half"]).isin("p", "下午", "午後", "오후"), "p").when(at["half"] != "", "a").otherwise("")
     micros = lambda k: F.rpad(F.substring(at[k], 1, 6), 6, "0").cast("bigint")
-    abbr = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
+    abbr = _map(ABBREVIATIONS)
     region = F.lit(zone) if isinstance(zone, str) else zone if zone is not None else F.lit(None).cast("string")
     step = bound(step, {
         "_i_y": num("year"), "_i_m": dated, "_i_d": day, "_i_h": F.coalesce(num("hour"), F.lit(0)), "_i_n": F.coalesce(num("minute"), F.lit(0)),

@@ -186,7 +186,7 @@ def hybrid_search(memories: DataFrame, query: str, vector: list[float] | None, s
     wanted = [w for w in re.findall(r"[\w][\w\-.]*\w", query) if len(w.encode()) >= 4 and re.search(r"[0-9]", w)]
     if wanted:
         channels["identifier"] = identifier_channel(texts, "id", "content", wanted)
-    ranks = ranked(channels, pool)
+    ranks = written(ranked(channels, pool))  # a few rows a channel, used three times
     fused = rrf(ranks, WEIGHTS)
     if wanted:
         named = ranks.where("channel = 'identifier' and rank = 1").select("id", F.lit(True).alias("_named"))
