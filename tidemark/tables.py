@@ -38,11 +38,23 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Like :func:`cut`, but as a parquet table, which keeps columns prunable and compressed."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stage-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_stages(spark: SparkSession) -> int:
+    """Delete the tables that this application has written by :func:`written`; gives how many.
+
+    For the end of a job, when no frame that rests on one of them is read any more.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(shared_dir(spark))
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = fs.globStatus(path(root, f"stage-{spark.sparkContext.applicationId}-*")) or []
+    return sum(bool(fs.delete(f.getPath(), True)) for f in found)
+
+
 def current_memories(memories: DataFrame, *columns: str) -> DataFrame:
     """One row per ``id``: that of the largest ``sync_version`` (a null version is the oldest).
 
