@@ -18,6 +18,8 @@ _WORDY = re.compile(r"[\p{Latin}\p{M}\d]")
 _EMAILY = re.compile(r"[A-Za-z0-9._+\-]")
 #: Digits in groups of three, two and four: a social number, never a telephone.
 _SOCIAL = re.compile(r"\d{3}([\- ])\d\d\1\d{4}")
+#: Articles and possessives, with which no full name begins.
+_ARTICLE = re.compile(r"(?:the|an?|my|your|his|her|our|mon|ma|mes|la|le|les|une?|el|los|las|una|der|die|das|eine?)\s")
 #: Texts that one call of the tagger gets.
 CHUNK = 4096
 
@@ -47,7 +49,7 @@ def _whole(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     digits = sum(c.isdigit() for c in span)
     if kind == "name":
         words = re.findall(r"\p{L}[\p{L}\p{M}'’\-]*", span)
-        fits = not digits and (len(words) >= 2 or bool(re.search(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]{2}", span)))
+        fits = not digits and not _ARTICLE.match(span) and (len(words) >= 2 or bool(re.search(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]{2}", span)))
     elif kind == "email":
         fits = len(span) >= 6 and bool(re.search(r"[@＠]|\bat\b", span, re.I))
     elif kind == "phone":
